@@ -1,3 +1,10 @@
 """Marginalia: a PySpark-native engine for scholarly-document analytics and retrieval."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions of this package travel to the executors with the plan, so that these need no copy of it on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
