@@ -26,7 +26,7 @@ DIM = 64
 BITS = 32
 LEAF = 1024
 #: Rows that fit the cuts of the sorted arrays; every row is indexed.
-SAMPLE = 20_000
+SAMPLE = 4_000
 #: Rounding to eight bits moves a cosine by less than this.
 SLACK = 0.008
 SEED = 20_240_607
@@ -185,7 +185,7 @@ def nearest(vectors: DataFrame, k: int = 10, least: float = 0.88, queries: str =
     sample = [r[0] for r in points.orderBy(F.xxhash64("pid")).limit(SAMPLE).select("v").collect()]
     unit = np.asarray(sample, dtype="f4").reshape(-1, dim)
     unit = unit / np.linalg.norm(unit, axis=1)[:, None] if len(unit) else unit
-    parts = max(1, math.ceil(n / (16 * leaf)))
+    parts = max(1, min(math.ceil(n / (16 * leaf)), len(unit) // 8))  # a part may be larger than the memory: it is searched in chunks
     cuts = np.sort(codes(unit, trees), axis=0)[[len(unit) * i // parts for i in range(1, parts)]].T if len(unit) and parts > 1 else np.zeros((trees, 0), "i8")
     hashed = points.select(F.col("pid").alias("id"), "v", F.col("q").cast("int").alias("q")).mapInArrow(_hasher(trees, cuts, dim), "part long, code long, id long, q int, vec binary")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
