@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import grouped_split, leakage, mixing, near_duplicates, pair_defects, sentences, set_pairs, term_weight, vector_forest
+from . import grouped_split, leakage, mixing, near_duplicates, pair_defects, scan_noise, sentences, set_pairs, term_weight, vector_forest
 
-MODULES = [set_pairs, term_weight, grouped_split, near_duplicates, vector_forest, leakage, mixing, sentences, pair_defects]
+MODULES = [set_pairs, term_weight, grouped_split, near_duplicates, vector_forest, leakage, mixing, sentences, pair_defects, scan_noise]
 
 
 def queries() -> dict:
