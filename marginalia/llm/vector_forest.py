@@ -25,6 +25,7 @@ from marginalia.storage import load, persist_table
 DIM = 64
 BITS = 32
 LEAF = 1024
+MIN_TREES = 8
 #: Rows that fit the cuts of the sorted arrays; every row is indexed.
 SAMPLE = 4_000
 #: Rounding to eight bits moves a cosine by less than this.
@@ -42,11 +43,16 @@ def codes(unit: np.ndarray, trees: int) -> np.ndarray:
     return bits @ (1 << np.arange(BITS - 1, -1, -1, dtype="i8"))
 
 
+def leaf_for(rows: int) -> int:
+    """Rows of a leaf: grows with the root of the collection, so that scoring and shuffling grow alike."""
+    return int(LEAF * max(1.0, (rows / 200_000) ** 0.5))
+
+
 def trees_for(rows: int, similarity: float, recall: float, leaf: int = LEAF) -> int:
-    """Trees in which two vectors of that similarity share one leaf with probability ``recall``."""
+    """Trees, at least MIN_TREES, in which two vectors of that similarity share one leaf with probability ``recall``."""
     bits = max(0.0, math.log2(max(1, rows) / leaf)) + 0.5
     p = (1 - math.acos(min(1.0, similarity)) / math.pi) ** bits
-    return 1 if p > 0.999 else max(2, math.ceil(math.log(1 - recall) / math.log(1 - p)))
+    return 1 if p > 0.999 else max(MIN_TREES, math.ceil(math.log(1 - recall) / math.log(1 - p)))
 
 
 def leaves(code: np.ndarray, leaf: int) -> list[tuple[int, int, int, int]]:
@@ -167,13 +173,13 @@ def _cosine() -> str:
     return f"{dot.format('va', 'vb')} / sqrt({dot.format('va', 'va')} * {dot.format('vb', 'vb')})"
 
 
-def nearest(vectors: DataFrame, k: int = 10, least: float = 0.88, queries: str = "true", recall: float = 0.995, dim: int = DIM, leaf: int = LEAF) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, least: float = 0.88, queries: str = "true", recall: float = 0.99, dim: int = DIM, leaf: int | None = None) -> DataFrame:
     """(id, nbr, similarity, rank): of each query row the ``k`` most similar rows of cosine >= ``least``.
 
     ``vectors`` is (id long, v array<float>); null, short, zero or non-finite vectors are
     left out.  Equal vectors are indexed once and expanded afterwards, so a group of copies
     of any size costs one entry.  Ties go to the smaller id.  ``queries`` is a condition on
-    id.  ``recall`` is the expected share of pairs at ``least`` + 0.04 that meet in a tree.
+    id.  ``recall`` is the expected share of pairs at ``least`` + 0.06 that meet in a tree.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, dim).withColumn("key", F.xxhash64("v")).withColumn("key2", F.hash(F.reverse("v")))
@@ -181,7 +187,8 @@ def nearest(vectors: DataFrame, k: int = 10, least: float = 0.88, queries: str =
     # One entry per vector; v is the same in all rows of a key.
     points = persist_table(rows.groupBy("key", "key2").agg(F.min("id").alias("pid"), F.count("*").alias("n"), F.max(F.expr(f"cast(({queries}) as int)")).alias("q"), F.first("v").alias("v")), "p7-points")
     n = points.count()
-    trees = trees_for(n, min(0.99, least + 0.04), recall, leaf)
+    leaf = leaf or leaf_for(n)
+    trees = trees_for(n, min(0.99, least + 0.06), recall, leaf)
     sample = [r[0] for r in points.orderBy(F.xxhash64("pid")).limit(SAMPLE).select("v").collect()]
     unit = np.asarray(sample, dtype="f4").reshape(-1, dim)
     unit = unit / np.linalg.norm(unit, axis=1)[:, None] if len(unit) else unit
