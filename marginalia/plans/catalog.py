@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from marginalia.operators import blocks, retrieval
+
+MODULES = [retrieval, blocks]
 
 
 def queries() -> dict:
@@ -14,4 +16,5 @@ def oracle_sql() -> dict:
 
 
 def flagship(spark, sf_dir: str):
-    raise NotImplementedError
+    """From search query to keyword, primary paper and its best relation."""
+    return retrieval.q_resolve(spark, sf_dir)
