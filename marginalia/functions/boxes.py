@@ -56,4 +56,4 @@ def scale(b: Column, fx: Column, fy: Column) -> Column:
 
 def text(b: Column) -> Column:
     """The four values with two decimals."""
-    return F.when(b.isNull(), "").otherwise(F.concat_ws(", ", *[F.format_number(b[k], "0.00") for k in ("x1", "y1", "x2", "y2")]))
+    return F.when(b.isNull(), "").otherwise(F.format_string("%.2f, %.2f, %.2f, %.2f", b["x1"], b["y1"], b["x2"], b["y2"]))

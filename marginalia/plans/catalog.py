@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from marginalia.operators import blocks, retrieval
+from marginalia.operators import blocks, evaluation, layout, mutations, reports, retrieval
+from marginalia.streaming import events
 
-MODULES = [retrieval, blocks]
+MODULES = [retrieval, blocks, layout, evaluation, mutations, reports, events]
 
 
 def queries() -> dict:
