@@ -26,9 +26,17 @@ META = ("title", "author", "abstract")
 TABLES = ("table", "table_caption")
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "each", "for", "from", "in", "is", "it", "nor", "of", "on", "or", "that", "the", "this", "to", "was", "we", "were", "with")
 
-_DOC = Window.partitionBy("document_id").orderBy("block_order", "ordinal")
-_BEFORE = _DOC.rowsBetween(Window.unboundedPreceding, -1)
-_UPTO = _DOC.rowsBetween(Window.unboundedPreceding, 0)
+
+def _doc():
+    return Window.partitionBy("document_id").orderBy("block_order", "ordinal")
+
+
+def _before():
+    return _doc().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _upto():
+    return _doc().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def document_blocks(reviews: DataFrame) -> DataFrame:
@@ -73,10 +81,10 @@ def route(blocks: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     t = F.coalesce("text", F.lit(""))
     b = b.withColumn("ref_head", t.rlike(REFERENCE_HEAD)).withColumn("caption", t.rlike(FIGURE_CAPTION)).withColumn("foot", is_footnote(s))
     ends = F.col("ref_head") | (~F.col("caption") & ~F.col("foot") & (F.col("block_type") == "reference"))
-    b = b.withColumn("gone", F.coalesce(F.max(ends).over(_BEFORE), F.lit(False)) | F.col("ref_head"))
+    b = b.withColumn("gone", F.coalesce(F.max(ends).over(_before()), F.lit(False)) | F.col("ref_head"))
     alive = ~F.col("gone") & ~F.col("caption") & ~F.col("foot")
     header = alive & (F.col("block_type") == "section_header") & ~t.rlike(ABSTRACT_HEAD)
-    b = b.withColumn("started", F.coalesce(F.max(header).over(_BEFORE), F.lit(False)))
+    b = b.withColumn("started", F.coalesce(F.max(header).over(_before()), F.lit(False)))
     kind = F.col("block_type")
     path = (
         F.when(~alive, "dropped")
@@ -93,7 +101,7 @@ def route(blocks: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
 def sections(routed: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """Body blocks with the section header that was last seen; text before any header is in the default section."""
     body = routed.filter("route = 'body'")
-    head = F.last(F.when(F.col("block_type") == "section_header", T.collapse(F.col("text"))), ignorenulls=True).over(_UPTO)
+    head = F.last(F.when(F.col("block_type") == "section_header", T.collapse(F.col("text"))), ignorenulls=True).over(_upto())
     return body.withColumn("section", F.coalesce(head, F.lit(s.default_section))).filter("block_type <> 'section_header'")
 
 
@@ -146,7 +154,7 @@ def build_paragraphs(body: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
 def table_titles(routed: DataFrame) -> DataFrame:
     """Tables with the caption just before them as title, null without one."""
     t = routed.filter("route = 'table'")
-    before = F.lag(F.when(F.col("block_type") == "table_caption", F.col("text"))).over(_DOC)
+    before = F.lag(F.when(F.col("block_type") == "table_caption", F.col("text"))).over(_doc())
     return t.withColumn("title", before).filter("block_type = 'table'")
 
 
@@ -219,7 +227,7 @@ def q_caption_carry(spark, d):
 
 def q_renumber(spark, d):
     b = _blocks(spark, d)
-    return b.withColumn("new_order", F.row_number().over(_DOC)).select("document_id", "block_id", "new_order")
+    return b.withColumn("new_order", F.row_number().over(_doc())).select("document_id", "block_id", "new_order")
 
 
 def q_keyword_score(spark, d):

@@ -58,9 +58,9 @@ def q_sheet_tables(spark, d):
 
 
 def q_sheet_keywords(spark, d):
-    """Papers and mean score of each keyword."""
+    """Papers and highest score of each keyword."""
     k = load(spark, d, "keywords").select("keyword_id", "display_form", "frequency")
-    link = load(spark, d, "paper_keywords").distinct().groupBy("keyword_id").agg(F.count_distinct("paper_id").alias("papers"), F.round(F.avg("score"), 3).alias("mean_score"))
+    link = load(spark, d, "paper_keywords").distinct().groupBy("keyword_id").agg(F.count_distinct("paper_id").alias("papers"), F.max("score").alias("top_score"))
     return k.join(link, "keyword_id", "left").fillna(0, ["papers"])
 
 
@@ -150,7 +150,7 @@ SQL = {
 c as (select table_id, unnest(string_split(regexp_replace(trim(line), '^\||\|$', '', 'g'), '|')) as x, unnest(range(len(string_split(regexp_replace(trim(line), '^\||\|$', '', 'g'), '|')))) as i from f),
 n as (select table_id, i, case when trim(x) = '' then 'column ' || (i + 1) else trim(x) end as x from c), k as (select *, count(*) over (partition by table_id, x order by i) as k from n)
 select table_id, string_agg(case when k > 1 then x || '_' || k else x end, ' | ' order by i) as headers from k group by 1""",
-    "sheet_keywords": "with l as (select keyword_id, count(distinct paper_id) as papers, round(avg(score), 3) as mean_score from (select distinct * from paper_keywords) group by 1) select keyword_id, display_form, frequency, coalesce(papers, 0) as papers, mean_score from keywords left join l using (keyword_id)",
+    "sheet_keywords": "with l as (select keyword_id, count(distinct paper_id) as papers, max(score) as top_score from (select distinct * from paper_keywords) group by 1) select keyword_id, display_form, frequency, coalesce(papers, 0) as papers, top_score from keywords left join l using (keyword_id)",
     "stage_counts": "select strftime(ts, '%Y-%m-%d') as stage, " + ", ".join(f"count_if(event_type = '{e}') as {e}" for e in ("click", "error", "purchase", "signup", "view")) + " from events group by 1",
     "report_totals": "select coalesce(nullif(trim(section_name), ''), '본문') as section, count(*) as n, count(distinct paper_id) as papers, round(avg(coalesce(is_topic_relevant, false)::int), 5) as relevant from paragraphs group by 1",
     "collect_report": "select coalesce(trim(full_text_link) <> '', false) as has_link, coalesce(trim(abstract) <> '', false) as has_abstract, published_year is not null as has_year, count(*) as n from papers group by 1, 2, 3",
