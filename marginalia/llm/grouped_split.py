@@ -30,7 +30,7 @@ def taken_documents(spark, sf_dir: str) -> DataFrame:
         ids = one if ids is None else ids.unionByName(one)
     docs = load(spark, sf_dir, "review_documents").select("document_id", "paper_id").filter("document_id is not null")
     docs = docs.withColumn("norm", F.trim(F.lower(F.regexp_replace("document_id", r"(?U)^\s+|\s+$", ""))))
-    return docs.join(ids.distinct(), "norm", "left_semi").select("document_id", "paper_id")
+    return docs.filter("norm <> ''").join(ids.distinct(), "norm", "left_semi").select("document_id", "paper_id").distinct()
 
 
 def entity_links(spark, sf_dir: str, docs: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def groups(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = persist_table(taken_documents(spark, sf_dir), "p3-docs")
     forest, comps = spanning_forest(star_edges(entity_links(spark, sf_dir, docs)), "p3")
     named = comps.join(comps.groupBy("root").agg(F.min("node").alias("group_key"), F.count("*").alias("size")), "root")
-    out = docs.join(named.select(F.col("node").alias("document_id"), "group_key", "size"), "document_id", "left")
+    out = docs.select("document_id").distinct().join(named.select(F.col("node").alias("document_id"), "group_key", "size"), "document_id", "left")
     return out.select("document_id", F.coalesce("group_key", "document_id").alias("group_key"), F.coalesce("size", F.lit(1)).alias("size")), forest
 
 

@@ -35,14 +35,14 @@ def _counter(path: str):
         enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["id", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], ["id", "source", "tokens"])
 
     return run
 
 
 def token_counts(texts: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(id, tokens) of texts(id long, text string) by a public tokenizer; null and empty texts have 0."""
-    return texts.select("id", "text").mapInArrow(_counter(vocabulary), "id long, tokens long")
+    """(id, source, tokens) of texts(id long, text string, source string) by a public tokenizer; null and empty texts have 0."""
+    return texts.select("id", "text", "source").mapInArrow(_counter(vocabulary), "id long, source string, tokens long")
 
 
 def uniform(a: int, b: int) -> float:
@@ -103,7 +103,7 @@ def _rounder(last: bool):
 
 
 def dependent_rounding(units: DataFrame, rows: int) -> DataFrame:
-    """(id, up): rounds the probabilities of units(source, id long, w long, p double) to 0 or 1.
+    """(source, id, w, up): rounds the probabilities of units(source, id long, w long, p double) to 0 or 1.
 
     For each source sum(w p) is kept but for a part of one unit.  The result depends on the
     data only, not on how it is partitioned, so a task that is run again decides the same.
@@ -116,7 +116,7 @@ def dependent_rounding(units: DataFrame, rows: int) -> DataFrame:
     while True:
         step = state.repartition("source", "bucket").sortWithinPartitions("source", "bucket", "id")
         step = persist_table(step.mapInArrow(_rounder(buckets == 1), schema), "p9-round")
-        whole = step.filter("p = 0 or p = 1").select("id", F.col("p").cast("int").alias("up"))
+        whole = step.filter("p = 0 or p = 1").select("source", "id", "w", F.col("p").cast("int").alias("up"))
         done = whole if done is None else done.unionByName(whole)
         if buckets == 1:
             return done
@@ -138,9 +138,8 @@ def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> tu
     whether even max_repeats copies of everything fall short.  Documents of null or other
     sources count for the size of the mix only; null shares and repeats count as 0.
     """
-    counts = token_counts(docs, vocabulary)
-    tokens = docs.select("id", source_key(F.col("source")).alias("source")).join(counts, "id")
-    tokens = persist_table(tokens, "p9-tokens")
+    keyed = docs.select("id", "text", source_key(F.col("source")).alias("source"))
+    tokens = persist_table(token_counts(keyed, vocabulary), "p9-tokens")
     want = targets.select(source_key(F.col("source")).alias("source"), F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("target_share"), F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).alias("max_repeats"))
     want = want.filter("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     total = tokens.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
@@ -151,11 +150,11 @@ def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> tu
     rate = F.when(F.col("available") > 0, F.least(F.col("max_repeats").cast("double"), F.col("wanted") / F.col("available"))).otherwise(0.0)
     plan = persist_table(plan.withColumn("rate", rate), "p9-plan")
     # One row per source; its number is that of the target table, which people write.
-    small = plan.select("source", "rate")
-    rows = tokens.join(F.broadcast(small) if small.count() <= 100_000 else small, "source")
-    rows = rows.withColumn("whole", F.floor("rate").cast("int")).withColumn("p", F.col("rate") - F.floor("rate"))
-    up = dependent_rounding(rows.select("source", "id", F.col("tokens").alias("w"), "p"), tokens.count())
-    copies = rows.join(up, "id").select("id", "source", "tokens", (F.col("whole") + F.col("up")).alias("copies"))
+    small = plan.select("source", (F.col("rate") - F.floor("rate")).alias("p"), F.floor("rate").cast("int").alias("whole"))
+    small = F.broadcast(small) if small.count() <= 100_000 else small
+    units = tokens.join(small, "source").select("source", "id", F.col("tokens").alias("w"), "p")
+    rounded = dependent_rounding(units, tokens.count())
+    copies = rounded.join(small, "source").select("id", "source", F.col("w").alias("tokens"), (F.col("whole") + F.col("up")).alias("copies"))
     copies = persist_table(copies, "p9-copies")
     got = copies.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed"))
     report = plan.join(got, "source", "left").fillna(0, ["mixed"])

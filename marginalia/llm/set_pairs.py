@@ -47,7 +47,7 @@ def set_classes(records: DataFrame, min_size: int) -> tuple[DataFrame, DataFrame
     classes(cid, key, n, toks, sz, sig, slack) one per different set, cid its least rid.
     Two sets share at most bit_count(sig & sig') + slack tokens.
     """
-    rec = records.filter(F.size("toks") >= min_size).withColumn("key", F.unhex(F.md5(F.concat_ws("\u0001", "toks"))))
+    rec = records.select("rid", "toks").filter(F.size("toks") >= min_size).withColumn("key", F.unhex(F.md5(F.concat_ws("\u0001", "toks"))))
     classes = rec.groupBy("key").agg(F.min("rid").alias("cid"), F.count("*").alias("n"), F.first("toks").alias("toks"))
     sig = F.expr("aggregate(transform(toks, x -> shiftleft(1L, int(pmod(xxhash64(x), 64)))), 0L, (a, x) -> a | x)")
     classes = classes.select("cid", "key", "n", "toks", F.size("toks").alias("sz"), sig.alias("sig"))

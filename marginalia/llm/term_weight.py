@@ -20,7 +20,7 @@ def log_entropy(counts: DataFrame, record: str, term: str, tf: str, n: int | Non
     sums from which the entropy follows, H = ln(sum tf) - sum(tf ln tf) / sum tf.  With a
     single record in all, every weight is 1.  Nulls in record, term or tf drop the row.
     """
-    c = counts.filter(F.col(record).isNotNull() & F.col(term).isNotNull() & (F.col(tf) > 0))
+    c = counts.select(record, term, tf).filter(F.col(record).isNotNull() & F.col(term).isNotNull() & (F.col(tf) > 0))
     n = c.select(record).distinct().count() if n is None else n
     per = c.groupBy(term).agg(F.count("*").alias("df"), F.sum(tf).alias("gf"), F.sum(F.col(tf) * F.log(tf)).alias("s"))
     entropy = F.log("gf") - F.col("s") / F.col("gf")

@@ -182,7 +182,7 @@ def nearest(vectors: DataFrame, k: int = 10, least: float = 0.88, queries: str =
     id.  ``recall`` is the expected share of pairs at ``least`` + 0.06 that meet in a tree.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors, dim).withColumn("key", F.xxhash64("v")).withColumn("key2", F.hash(F.reverse("v")))
+    rows = usable(vectors.select("id", "v"), dim).withColumn("key", F.xxhash64("v")).withColumn("key2", F.hash(F.reverse("v")))
     members = rows.select("id", "key", "key2")
     # One entry per vector; v is the same in all rows of a key.
     points = persist_table(rows.groupBy("key", "key2").agg(F.min("id").alias("pid"), F.count("*").alias("n"), F.max(F.expr(f"cast(({queries}) as int)")).alias("q"), F.first("v").alias("v")), "p7-points")
