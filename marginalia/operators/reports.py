@@ -130,11 +130,11 @@ def q_rollup_citations(spark, d):
 
 def q_star_revenue(spark, d):
     """Revenue by nation and year over the star schema: the relational core."""
-    li = load(spark, d, "lineitem").select("l_orderkey", "l_suppkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
+    li = load(spark, d, "lineitem").select("l_orderkey", "l_suppkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)").alias("revenue"))
     o = load(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").alias("year"))
     s = load(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey"))
     n = load(spark, d, "nation").select("n_nationkey", "n_name")
-    return li.join(o, "l_orderkey").join(s, "l_suppkey").join(n, "n_nationkey").groupBy("n_name", "year").agg(F.round(F.sum("revenue"), 2).alias("revenue"), F.count("*").alias("n"))
+    return li.join(o, "l_orderkey").join(s, "l_suppkey").join(n, "n_nationkey").groupBy("n_name", "year").agg(F.sum("revenue").cast("double").alias("revenue"), F.count("*").alias("n"))
 
 
 QUERIES = {
@@ -162,5 +162,5 @@ select table_id, string_agg(case when k > 1 then x || '_' || k else x end, ' | '
     "result_id": "select summary_id, 'r-' || strftime(generated_at::timestamp, '%Y%m%d') || '-' || substring(sha256(summary_id::varchar), 1, 8) as rid from paper_summaries",
     "cache_key": "select sha256(cleaned_text) as cache_key, count(*) as calls from paragraphs where cleaned_text is not null group by 1",
     "papers_cube": "select journal, published_year, count(*) as n from papers where journal is not null and published_year is not null and trim(journal) <> '' group by cube (journal, published_year)",
-    "star_revenue": "select n_name, year(o_orderdate)::int as year, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n from lineitem join orders on o_orderkey = l_orderkey join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey group by 1, 2",
+    "star_revenue": "select n_name, year(o_orderdate)::int as year, sum((l_extendedprice * (1 - l_discount))::decimal(18, 4))::double as revenue, count(*) as n from lineitem join orders on o_orderkey = l_orderkey join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey group by 1, 2",
 }

@@ -80,13 +80,13 @@ def usable_paragraphs(paragraphs: DataFrame, dim: int = 64) -> DataFrame:
     return paragraphs.filter(f"is_topic_relevant and size(embedding) = {dim} and exists(embedding, x -> x <> 0)")
 
 
-def paragraph_similarity(pairs: DataFrame, paragraphs: DataFrame) -> DataFrame:
+def paragraph_similarity(pairs: DataFrame, paragraphs: DataFrame, dim: int = 64) -> DataFrame:
     """pairs(query_id, paper_id, q) with each usable paragraph of the paper and its cosine with q."""
-    p = usable_paragraphs(paragraphs).select("paper_id", "paragraph_id", "paragraph_order", "embedding")
+    p = usable_paragraphs(paragraphs, dim).select("paper_id", "paragraph_id", "paragraph_order", "embedding")
     return pairs.join(p, "paper_id").withColumn("similarity", F.round(V.cosine(F.col("q"), F.col("embedding")), 6)).drop("embedding")
 
 
-def primary_scores(links: DataFrame, keywords: DataFrame, papers: DataFrame, paragraphs: DataFrame, as_of: int = DEFAULTS.as_of_year) -> DataFrame:
+def primary_scores(links: DataFrame, keywords: DataFrame, papers: DataFrame, paragraphs: DataFrame, as_of: int = DEFAULTS.as_of_year, dim: int = 64) -> DataFrame:
     """Score of every paper linked to each keyword: 0.5 link + 0.3 best paragraph + 0.1 title or abstract hit + 0.1 year.
 
     Papers without usable paragraphs have 0 for the best paragraph; null link scores count as 0.
@@ -94,7 +94,7 @@ def primary_scores(links: DataFrame, keywords: DataFrame, papers: DataFrame, par
     link = links.groupBy("keyword_id", "paper_id").agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("kw_score"))
     k = keywords.select("keyword_id", T.keyword(F.col("keyword")).alias("term"), F.col("embedding").alias("q"))
     rows = link.join(k, "keyword_id")
-    best = paragraph_similarity(rows.select(F.col("keyword_id").alias("query_id"), "paper_id", "q"), paragraphs).groupBy("query_id", "paper_id").agg(F.max("similarity").alias("similarity"))
+    best = paragraph_similarity(rows.select(F.col("keyword_id").alias("query_id"), "paper_id", "q"), paragraphs, dim).groupBy("query_id", "paper_id").agg(F.max("similarity").alias("similarity"))
     rows = rows.drop("q").join(best.withColumnRenamed("query_id", "keyword_id"), ["keyword_id", "paper_id"], "left")
     rows = rows.join(papers.select("paper_id", "title", "abstract", "published_year"), "paper_id")
     hit = (F.length("term") > 0) & F.contains(T.keyword(F.concat_ws(" ", "title", "abstract")), F.col("term"))
@@ -108,9 +108,9 @@ def select_primary(scored: DataFrame) -> DataFrame:
     return scored.withColumn("r", F.row_number().over(best)).filter("r = 1").drop("r")
 
 
-def paper_profiles(papers: DataFrame, paragraphs: DataFrame, links: DataFrame, keywords: DataFrame) -> DataFrame:
+def paper_profiles(papers: DataFrame, paragraphs: DataFrame, links: DataFrame, keywords: DataFrame, dim: int = 64) -> DataFrame:
     """(paper_id, published_year, v, terms): vector of the first usable paragraph, null without one; sorted distinct terms."""
-    v = usable_paragraphs(paragraphs).groupBy("paper_id").agg(F.min_by("embedding", F.struct("paragraph_order", "paragraph_id")).alias("v"))
+    v = usable_paragraphs(paragraphs, dim).groupBy("paper_id").agg(F.min_by("embedding", F.struct("paragraph_order", "paragraph_id")).alias("v"))
     k = keywords.select("keyword_id", T.keyword(F.col("keyword")).alias("term")).filter("term <> ''")
     terms = links.select("paper_id", "keyword_id").distinct().join(k, "keyword_id").groupBy("paper_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
     out = papers.select("paper_id", "published_year").join(v, "paper_id", "left").join(terms, "paper_id", "left")

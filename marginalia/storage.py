@@ -14,7 +14,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: list[str] = []
+
+
+def _forget() -> None:
+    """Delete what was written below a local folder, when the interpreter ends and nothing can read it any more."""
+    for path in _written:
+        if path.startswith(("file:", "/")):
+            shutil.rmtree(path.removeprefix("file:").replace("//", "/"), ignore_errors=True)
+
+
+atexit.register(_forget)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,7 +48,7 @@ def persist_table(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/marginalia/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

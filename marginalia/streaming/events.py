@@ -66,6 +66,8 @@ def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
     out = f"{shared_dir(spark)}/marginalia/stream-{uuid.uuid4().hex}"
     schema = stream.schema.add("_batch", "long")
 
+    spark.createDataFrame([], schema).write.parquet(f"{out}/data/b=-1")  # there may be no batch at all
+
     def sink(df: DataFrame, batch: int) -> None:
         df.withColumn("_batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{out}/data/b={batch}")
 
