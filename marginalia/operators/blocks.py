@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +15,8 @@ from marginalia.config import DEFAULTS, Settings
 from marginalia.functions import text as T
 from marginalia.storage import load
 
+from .grouped import per_group
+
 # Headings and labels that decide where a block goes.
 REFERENCE_HEAD = r"(?iU)^\s*(references|appendix|참고문헌|부록)\b"
 ABSTRACT_HEAD = r"(?iU)^\s*(abstract|초록|요약)\b"
@@ -141,14 +142,13 @@ def build_paragraphs(body: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """
     least, most = s.paragraph_min_chars, s.paragraph_max_chars
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["block_order", "ordinal"])
-        items = [(a, t) for a, t in zip(pdf["section"], pdf["clean"]) if t]
-        rows = [(sec, piece) for sec, t in merge_short(items, least) for piece in split_long(t, most)]
-        return pd.DataFrame({"document_id": [pdf["document_id"].iloc[0]] * len(rows), "paragraph_order": range(1, len(rows) + 1), "section": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    def one(key: dict, rows: list[dict]) -> list[dict]:
+        items = merge_short([(r["section"], r["clean"]) for r in rows if r["clean"]], least)
+        pieces = [(section, p) for section, t in items for p in split_long(t, most)]
+        return [key | {"paragraph_order": i, "section": section, "text": p} for i, (section, p) in enumerate(pieces, 1)]
 
-    b = body.withColumn("clean", T.clean_lines(F.col("text"))).select("document_id", "block_order", "ordinal", "section", "clean")
-    return b.groupBy("document_id").applyInPandas(one, "document_id string, paragraph_order int, section string, text string")
+    b = body.withColumn("clean", T.clean_lines(F.col("text")))
+    return per_group(b, ["document_id"], ["section", "clean"], ["block_order", "ordinal"], one, "document_id string, paragraph_order int, section string, text string")
 
 
 def table_titles(routed: DataFrame) -> DataFrame:
