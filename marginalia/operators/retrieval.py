@@ -334,6 +334,13 @@ def q_top1_relation(spark, d):
     return top_relation(q_build_relations(spark, d))
 
 
+def q_union_relations(spark, d):
+    """Relations of each paper counted in both directions."""
+    e = q_build_relations(spark, d)
+    both = e.select(F.col("source_paper_id").alias("paper_id")).unionByName(e.select(F.col("related_paper_id").alias("paper_id")))
+    return both.groupBy("paper_id").agg(F.count("*").alias("edges"))
+
+
 def q_section_fold(spark, d):
     return section_folds(load(spark, d, "paragraphs").filter("is_topic_relevant"))
 
@@ -361,7 +368,7 @@ QUERIES = {
     "contains_norm": q_contains_norm, "join_paper_keywords": q_join_paper_keywords, "join_alias_lookup": q_join_alias_lookup, "join_relation_candidates": q_join_relation_candidates,
     "topk_similar_keywords": q_topk_similar_keywords, "agg_sections_first_seen": q_sections_first_seen, "best_paragraph_sim": q_best_paragraph_sim,
     "top_matching_paragraph": q_top_matching_paragraph, "select_primary": q_select_primary, "best_exact_match": q_best_exact_match, "resolve": q_resolve,
-    "build_relations": q_build_relations, "top1_relation": q_top1_relation, "section_fold": q_section_fold, "islands": q_islands, "order_papers": q_order_papers, "overlap_list": q_jaccard,
+    "build_relations": q_build_relations, "top1_relation": q_top1_relation, "union_relations": q_union_relations, "section_fold": q_section_fold, "islands": q_islands, "order_papers": q_order_papers, "overlap_list": q_jaccard,
 }
 
 _N = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"
@@ -419,6 +426,7 @@ SQL = {
     "resolve": f"with {_PRIMARY}, dict as (select term, min(keyword_id) as keyword_id from k where term <> '' group by 1), al as (select alias, min(dict.keyword_id) as keyword_id from k join dict using (term) where alias <> '' group by 1), {_ASK}, {_REL} select query_id, keyword_id, prim.paper_id as primary_id, total, peer_id as related_id, relation_score from matched join prim using (keyword_id) left join top on top.paper_id = prim.paper_id",
     "build_relations": f"with {_KW}, {_USABLE}, {_REL} select * from edge",
     "top1_relation": f"with {_KW}, {_USABLE}, {_REL} select * from top",
+    "union_relations": f"with {_KW}, {_USABLE}, {_REL} select paper_id, count(*) as edges from both_ group by 1",
     "section_fold": "with " + _FOLD.format("is_topic_relevant") + """, ks as (select paper_id, section_order, kw, min((paragraph_order, paragraph_id, i)) as first from (select paper_id, section_order, paragraph_order, paragraph_id, unnest(keywords) as kw, unnest(range(len(keywords))) as i from g) where kw is not null group by 1, 2, 3),
 kj as (select paper_id, section_order, string_agg(kw, '|' order by first) as keywords from ks group by 1, 2)
 select g.paper_id, section_order::int as section_order, name as section_name, count(*) as paragraph_count, coalesce(string_agg(nullif(original_text, ''), chr(10) || chr(10) order by paragraph_order, paragraph_id), '') as original_text, coalesce(any_value(kj.keywords), '') as keywords

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from marginalia.operators import blocks, evaluation, layout, mutations, reports, retrieval
+from marginalia.operators import blocks, evaluation, layout, mutations, reports, retrieval, scalars
 from marginalia.streaming import events
 
-MODULES = [retrieval, blocks, layout, evaluation, mutations, reports, events]
+MODULES = [retrieval, blocks, layout, evaluation, mutations, reports, scalars, events]
 
 
 def queries() -> dict:

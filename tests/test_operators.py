@@ -9,6 +9,7 @@ from marginalia.operators import layout as Y
 from marginalia.operators import mutations as M
 from marginalia.operators import reports as P
 from marginalia.operators import retrieval as R
+from marginalia.operators import scalars as S
 
 
 @pytest.fixture(scope="module")
@@ -165,3 +166,27 @@ def test_summary_warnings(spark):
 def test_workbook_round_trip(spark, tmp_path):
     paths = P.write_workbook({"one": spark.range(3), "two": spark.range(2)}, str(tmp_path / "w"))
     assert [len(pd.read_csv(p)) for p in paths] == [3, 2]
+
+
+def test_visual_rows_and_split_headings():
+    page = [box("author", 300, 10, 380, 20, name="b"), box("author", 10, 12, 90, 22, name="a"), box("author", 10, 40, 90, 50, name="c"), box("author", name="n")]
+    assert [b["block_id"] for b in S.visual_rows(page)] == ["a", "b", "c", "n"]
+    merged = box("section_header", 0, 0, 200, 80, name="h")
+    lines = [(0, 0, 60, 18), (0, 20, 200, 38), (0, 40, 200, 58)]
+    out = S.split_headings([merged], lines)
+    assert [(b["block_type"], b["bbox"]) for b in out] == [("section_header", (0, 0, 200, 19)), ("text", (0, 19, 200, 80))]
+    assert S.split_headings([merged], lines[:2]) == [merged]
+
+
+def test_classes_from_text_layers(spark):
+    lines = spark.createDataFrame([("d", 1, 1, "Small", 9.0), ("d", 1, 2, "The Title", 20.0), ("d", 1, 3, "also large", 20.0), ("d", 2, 1, "References", 9.0), ("d", 2, 2, "[1]", 9.0)], "document_id string, page int, line int, text string, size double")
+    assert [r.block_type for r in S.simple_layout(lines).orderBy("page", "line").collect()] == ["text", "title", "text", "reference", "reference"]
+    items = [("title", "T"), ("section_header", "Abstract"), ("text", "a"), ("section_header", "Intro"), ("text", "b"), ("caption", "Table 1"), ("table", ""), ("picture", ""), ("caption", "Figure 1"), ("title", "again"), ("section_header", "References"), ("list_item", "[1]"), ("page_footer", "3")]
+    df = spark.createDataFrame([("d", i, *x) for i, x in enumerate(items)], "document_id string, item int, label string, text string")
+    got = [r.block_type for r in S.typed_items(df).orderBy("item").collect()]
+    assert got == ["title", "section_header", "abstract", "section_header", "text", "table_caption", "table", "figure", "figure_caption", "section_header", "section_header", "reference", "header_footer"]
+
+
+def test_markdown(spark):
+    df = spark.createDataFrame([("a | b | c\n1 | 2",), ("none",)], "t string")
+    assert [r[0] for r in df.select(S.markdown_grid(df.t)).collect()] == ["| a | b | c |\n| --- | --- | --- |\n| 1 | 2 |  |", None]
