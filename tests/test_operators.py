@@ -2,6 +2,8 @@ import math
 
 import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from marginalia.operators import blocks as K
 from marginalia.operators import evaluation as E
@@ -190,3 +192,11 @@ def test_classes_from_text_layers(spark):
 def test_markdown(spark):
     df = spark.createDataFrame([("a | b | c\n1 | 2",), ("none",)], "t string")
     assert [r[0] for r in df.select(S.markdown_grid(df.t)).collect()] == ["| a | b | c |\n| --- | --- | --- |\n| 1 | 2 |  |", None]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 4).flatmap(lambda w: st.lists(st.lists(st.sampled_from(["a", "b", "c<d", "x & y", ""]), min_size=w, max_size=w), min_size=1, max_size=5)))
+def test_tables_as_html_and_back(rows):
+    text = "\n".join(" | ".join(r) for r in rows)
+    if all(text.split("\n")):
+        assert Y.html_grid(E.table_html(text)) == text
