@@ -49,8 +49,8 @@ ARTICLES = {
 }
 PREPOSITIONS = {
     "en": ("of", "in", "at", "on", "with", "for", "and", "because", "whereas", "nor", "by", "to", "was"),
-    "de": ("von", "bei", "im", "zum", "und", "nach", "ohne", "aus", "mit", "vor", "für", "seit", "an", "unter", "auf", "trotz", "innerhalb", "entlang"),
-    "fr": ("avec", "selon", "dans", "pour", "sur", "sans", "sous", "et", "avant", "après", "depuis", "hors", "malgré", "moindre"),
+    "de": ("von", "bei", "in", "im", "was", "zum", "und", "nach", "ohne", "aus", "mit", "vor", "für", "seit", "an", "unter", "auf", "trotz", "innerhalb", "entlang"),
+    "fr": ("avec", "selon", "dans", "en", "pour", "sur", "sans", "sous", "et", "avant", "après", "depuis", "hors", "malgré", "moindre"),
     "es": ("con", "por", "sin", "en", "y", "tras", "desde", "para", "dentro", "fuera", "antes", "pese", "finales"),
 }
 
