@@ -13,7 +13,7 @@ from marginalia.storage import load
 
 from .blocks import document_blocks
 from .evaluation import review_blocks
-from .layout import grid_rows
+from .layout import _GRID, grid_rows
 from .retrieval import year_proximity, year_weight
 
 
@@ -217,6 +217,12 @@ _AREA = "(greatest(0, {0}.x2 - {0}.x1) * greatest(0, {0}.y2 - {0}.y1))"
 _INT = "(greatest(0, least({0}.x2, {1}.x2) - greatest({0}.x1, {1}.x1)) * greatest(0, least({0}.y2, {1}.y2) - greatest({0}.y1, {1}.y1)))"
 _DOT = "list_dot_product({}::double[], {}::double[])"
 SQL = {
+    "markdown_grid": f"""with {_GRID}, w as (select table_id, max(len(cells)) as w from g group by 1), m as (select table_id, row, w, '| ' || array_to_string(list_concat(cells, list_transform(range(w - len(cells)), lambda x: '')), ' | ') || ' |' as line from g join w using (table_id)),
+j as (select table_id, string_agg(case when row = 0 then line || chr(10) || '|' || repeat(' --- |', w) else line end, chr(10) order by row) as markdown from m group by 1) select table_id, markdown from paper_tables left join j using (table_id)""",
+    "layout_docling": rf"""with {_B}, i as (select document_id, ordinal as item, case when block_type = 'footnote' then 'caption' when block_type in ('title', 'section_header', 'table') then block_type else 'text' end as label, coalesce(text, '') as text from b),
+k as (select *, last_value(case when label = 'section_header' then lower(trim(text)) end ignore nulls) over (partition by document_id order by item rows between unbounded preceding and current row) as head, lag(label) over w = 'table' or lead(label) over w = 'table' as near, row_number() over (partition by document_id, label order by item) = 1 as first from i window w as (partition by document_id order by item))
+select document_id, item, case when label = 'title' and first then 'title' when label in ('title', 'section_header') then 'section_header' when label = 'caption' then case when coalesce(near, false) then 'table_caption' else 'figure_caption' end
+  when regexp_matches(head, '^(references|참고문헌)') and label = 'text' then 'reference' when regexp_matches(head, '^(abstract|초록)') and label = 'text' then 'abstract' when label = 'table' then 'table' else 'text' end as block_type from k""",
     "cosine": f"with v as (select keyword_id, embedding as a, lead(embedding) over (partition by keyword_id // 16 order by keyword_id) as b from keywords) select keyword_id, round(case when a is null or b is null or len(a) = 0 or len(a) <> len(b) or len(list_filter(a, lambda x: x <> 0)) = 0 or len(list_filter(b, lambda x: x <> 0)) = 0 then 0.0 else {_DOT.format('a', 'b')} / sqrt({_DOT.format('a', 'a')} * {_DOT.format('b', 'b')}) end, 5) as cosine from v",
     "year_weight": "select paper_id, round(coalesce(greatest(0.0, least(1.0, 1 - greatest(0, 2024 - published_year) / 10.0)), 0)::double, 6) as weight from papers",
     "year_proximity": "with p as (select paper_id, published_year as a, lag(published_year) over (partition by journal order by paper_id) as b from papers) select paper_id, round(case when a is null or b is null then 0.0 else greatest(0.0, 1 - abs(a - b) / 10.0) end::double, 6) as proximity from p",
