@@ -45,7 +45,7 @@ def word_set(text: Column) -> Column:
 
 
 def _lister(k: int, records: int, common: np.ndarray, weight: np.ndarray):
-    """id, kind, ws -> key, ext, id, sz, p0, p1 for each run of the sketch."""
+    """id, kind, ws -> key, id, sz, p0, p1 for each run of the sketch."""
     limit = math.log10(BY_CHANCE / max(records, 1))
     powers = np.empty(k + 2, "u8")
     inverse = np.empty(k + 2, "u8")
@@ -93,11 +93,9 @@ def _lister(k: int, records: int, common: np.ndarray, weight: np.ndarray):
             prefix = np.concatenate([np.zeros(1, "u8"), np.cumsum(mixed * powers[pos], dtype="u8")])
             kind = batch.column(1).to_numpy().astype("u8")[doc[start]]
             key = (prefix[end] - prefix[start]) * inverse[pos[start]] + kind * np.uint64(_MULT)
-            wide = np.minimum(end + 4, last[start])
-            ext = (prefix[wide] - prefix[start]) * inverse[pos[start]] + kind * np.uint64(_MULT)
             d = doc[start]
-            cols = [key.view("i8"), ext.view("i8"), batch.column(0).to_numpy()[d], size[d].astype("i4"), parity[0][d].view("i8"), parity[1][d].view("i8")]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "ext", "id", "sz", "p0", "p1"])
+            cols = [key.view("i8"), batch.column(0).to_numpy()[d], size[d].astype("i4"), parity[0][d].view("i8"), parity[1][d].view("i8")]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "id", "sz", "p0", "p1"])
 
     return run
 
@@ -121,6 +119,15 @@ def _chunks(rows: DataFrame) -> DataFrame:
     return rows.withColumn("key", F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o"))).select("key", "id", "sz", "p0", "p1")
 
 
+def _split(rows: DataFrame) -> DataFrame:
+    """The lists with those of more than LIST rows in chunks; every two rows of a list still meet."""
+    long = persist_table(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > LIST), "p6-long")
+    if long.isEmpty():
+        return rows
+    # Lists are long only for keys of at least 1 / LIST of the rows, but these may be any number: no broadcast.
+    return rows.join(long, "key", "left_anti").unionByName(_chunks(rows.join(long, "key")))
+
+
 def similar_records(records: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """(classes, links) of ``records(rid long, kind int, text string)``.
 
@@ -138,20 +145,9 @@ def similar_records(records: DataFrame, threshold: float = 0.7) -> tuple[DataFra
     weight = np.log10(np.maximum(RARE, common["n"].to_numpy() / max(n, 1))) if n else np.zeros(0)
     order = np.argsort(words)
     k = sketch_size(n)
-    rows = reps.select("id", "kind", "ws").mapInArrow(_lister(k, n, words[order], weight[order]), "key long, ext long, id long, sz int, p0 long, p1 long")
+    rows = reps.select("id", "kind", "ws").mapInArrow(_lister(k, n, words[order], weight[order]), "key long, id long, sz int, p0 long, p1 long")
     rows = persist_table(rows, "p6-lists")
-    slim = ["key", "id", "sz", "p0", "p1"]
-    long = persist_table(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > LIST), "p6-long")
-    if long.isEmpty():
-        lists = rows.select(*slim)
-    else:
-        # Lists are long only for runs of at least 1 / LIST of the rows, but these may be any number: no broadcast.
-        short = rows.join(long, "key", "left_anti").select(*slim)
-        again = rows.join(long.select("key"), "key", "left_semi").withColumn("key", F.xxhash64("key", "ext"))
-        sizes = again.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        again = again.join(sizes, "key")
-        lists = short.unionByName(again.filter(F.col("n") <= LIST).select(*slim)).unionByName(_chunks(again.filter(F.col("n") > LIST)))
-    pairs = _pairs(lists, threshold).distinct()
+    pairs = _pairs(_split(rows), threshold).distinct()
     # The k least of the union's values, by value: its estimate of the similarity errs by a standard error of 0.5 / sqrt(k).
     wa, wb = reps.select(F.col("id").alias("a"), F.col("ws").alias("wa")), reps.select(F.col("id").alias("b"), F.col("ws").alias("wb"))
     both = pairs.join(wa, "a").join(wb, "b")

@@ -77,3 +77,29 @@ def test_long_lists_are_split(spark, monkeypatch):
     rows = [(i, 1, " ".join(base + [f"x{i}", f"y{i}"])) for i in range(60)]
     g = N.near_groups(spark.createDataFrame(rows, "rid long, kind int, text string")).collect()
     assert {r.group_key for r in g} == {0}
+
+
+def hot_group(rng, copies, others):
+    """Different edits of one text of 46 words, and unrelated texts."""
+    base, words = [f"c{i}" for i in range(46)], [f"w{i}" for i in range(5000)]
+    texts = [base]
+    for _ in range(copies):
+        e = list(base)
+        for k in rng.sample(range(46), rng.randint(2, 7)):
+            e[k] = rng.choice(words)
+        texts.append(e)
+    return texts + [rng.sample(words, 46) for _ in range(others)]
+
+
+def found_and_wanted(spark, texts):
+    df = spark.createDataFrame([(i, 1, " ".join(t)) for i, t in enumerate(texts)], "rid long, kind int, text string")
+    _, links = N.similar_records(df, 0.7)
+    s = [set(t) for t in texts]
+    want = {(i, j) for i in range(len(s)) for j in range(i + 1, len(s)) if s[i] != s[j] and len(s[i] & s[j]) >= 0.7 * len(s[i] | s[j])}
+    return {(r.a, r.b) for r in links.collect()}, want
+
+
+def test_long_lists_of_different_edits_are_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(N, "LIST", 16)
+    got, want = found_and_wanted(spark, hot_group(random.Random(9), 300, 600))
+    assert got <= want and len(got) >= 0.85 * len(want)
