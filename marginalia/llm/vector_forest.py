@@ -3,9 +3,11 @@
 Each tree hashes a vector to a string of sign bits of random projections and keeps the
 strings in a sorted array.  A node of a tree is a range of the array with a common
 prefix; descending lengthens the prefix until few enough rows are left, so its length
-varies with the density.  Ranges that come out too small ascend to a shorter prefix, in
-all trees by the same budget of candidates.  Candidates are scored on vectors rounded to
-eight bits, the best are scored again exactly.
+varies with the density, up to a depth that the number of trees is fitted to: a node of that
+depth is compared whole, in blocks, however many rows it holds, so a dense cluster is
+found like any other rows.  Ranges that come out too small ascend to a shorter prefix.
+Candidates are scored on vectors rounded to 16 bits; all that can be among the best are
+scored again exactly.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ DIM = 64
 BITS = 32
 LEAF = 1024
 MIN_TREES = 8
-#: Rows that fit the cuts of the sorted arrays; every row is indexed.
-SAMPLE = 4_000
-#: Rounding to eight bits moves a cosine by less than this.
-SLACK = 0.008
+#: Leaves of rows that one task compares at once; larger nodes are compared in blocks of that many.
+BLOCK = 64
+#: Similarities held at once.
+CELLS = 1 << 22
+#: Rounding to 16 bits moves a cosine by less than this.
+SLACK = 2.5e-4
 SEED = 20_240_607
 
 
@@ -48,27 +52,29 @@ def leaf_for(rows: int) -> int:
     return int(LEAF * max(1.0, (rows / 200_000) ** 0.5))
 
 
-def trees_for(rows: int, similarity: float, recall: float, leaf: int = LEAF) -> int:
-    """Trees, at least MIN_TREES, in which two vectors of that similarity share one leaf with probability ``recall``."""
-    bits = max(0.0, math.log2(max(1, rows) / leaf)) + 0.5
-    p = (1 - math.acos(min(1.0, similarity)) / math.pi) ** bits
+def depth_for(rows: int, leaf: int = LEAF) -> int:
+    """Longest prefix of a node: two to four leaves of evenly spread rows share one."""
+    return min(BITS - 1, int(math.log2(max(1.0, rows / (2 * leaf)))))
+
+
+def trees_for(depth: int, similarity: float, recall: float) -> int:
+    """Trees, at least MIN_TREES if there is any prefix, in which two vectors of that similarity share a node of that depth with probability ``recall``."""
+    p = (1 - math.acos(min(1.0, similarity)) / math.pi) ** depth
     return 1 if p > 0.999 else max(MIN_TREES, math.ceil(math.log(1 - recall) / math.log(1 - p)))
 
 
-def leaves(code: np.ndarray, leaf: int) -> list[tuple[int, int, int, int]]:
-    """(first, end, candidates' first, candidates' end) of each leaf of a sorted array of codes."""
+def leaves(code: np.ndarray, leaf: int, deepest: int = BITS) -> list[tuple[int, int, int, int]]:
+    """(first, end, candidates' first, candidates' end) of each leaf of a sorted array of codes; nodes of the ``deepest`` level stay whole."""
     out, todo = [], [(0, len(code), 0, [(0, len(code))])]
     while todo:
         lo, hi, depth, above = todo.pop()
         if hi <= lo:
             continue
-        if hi - lo <= leaf or depth >= BITS:
-            for at in range(lo, hi, leaf):
-                end = min(hi, at + leaf)
-                wide = next(((a, b) for a, b in reversed(above) if b - a >= leaf // 2), above[0])
-                if wide[1] - wide[0] > 2 * leaf:
-                    wide = (max(wide[0], at - leaf // 2), min(wide[1], end + leaf // 2))
-                out.append((at, end, *wide))
+        if hi - lo <= leaf or depth >= deepest:
+            wide = next(((a, b) for a, b in reversed(above) if b - a >= leaf // 2), above[0])
+            if wide[1] - wide[0] > 2 * leaf:
+                wide = (max(wide[0], lo - leaf // 2), min(wide[1], hi + leaf // 2))
+            out.append((lo, hi, *wide))
             continue
         bit = np.int64(1) << (BITS - 1 - depth)
         mid = lo + int(np.searchsorted(code[lo:hi] & bit > 0, True))
@@ -90,51 +96,102 @@ def _matrix(column: pa.Array, dtype: str, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype).reshape(-1, width)
 
 
-def _hasher(trees: int, cuts: np.ndarray, dim: int):
-    """id, v, q -> a row per tree: part of the sorted array, code, id, q, vector in eight bits."""
+def _unit(batch: pa.RecordBatch, dim: int) -> np.ndarray:
+    v = _matrix(batch.column(1), "f4", dim)
+    return v / np.sqrt(np.einsum("ij,ij->i", v.astype("f8"), v.astype("f8")))[:, None].astype("f4")
+
+
+def _counter(trees: int, depth: int, dim: int):
+    """id, v -> node, n: rows of each node of the deepest level, node = tree * 2**depth + prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(SEED + 1)
+        n = np.zeros(trees << depth, "i8")
+        for batch in batches:
+            if batch.num_rows:
+                nodes = (codes(_unit(batch, dim), trees) >> (BITS - depth)) + (np.arange(trees) << depth)
+                n += np.bincount(nodes.ravel(), minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["node", "n"])
+
+    return run
+
+
+def _parts(n: np.ndarray, depth: int, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+    """Part and number of blocks of each node: neighbours of a tree share a part of about 16 leaves, nodes of over BLOCK leaves have their own."""
+    blocks = np.where(n > BLOCK * leaf, -(-n // (BLOCK * leaf)), 1)
+    tree = np.arange(len(n)) >> depth
+    room = np.where(blocks > 1, 0, n)
+    full = np.cumsum(room) // (16 * leaf)
+    new = np.ones(len(n), bool)
+    new[1:] = (tree[1:] != tree[:-1]) | (full[1:] != full[:-1]) | (blocks[1:] > 1) | (blocks[:-1] > 1)
+    return np.cumsum(new) - 1, blocks
+
+
+def _hasher(trees: int, depth: int, part: np.ndarray, blocks: np.ndarray, dim: int):
+    """id, v, q -> a row per tree, several in nodes of several blocks: part, block, side, code, id, q, vector in 16 bits.
+
+    A node of c blocks is compared by the pairs (i <= j) of its blocks; a row is on side 0 of its pairs as i, on side 1 as j.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["part", "block", "side", "code", "id", "q", "vec"]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v = _matrix(batch.column(1), "f4", dim)
-            unit = v / np.sqrt(np.einsum("ij,ij->i", v.astype("f8"), v.astype("f8")))[:, None].astype("f4")
-            small = np.round(unit * (127 / np.abs(unit).max(axis=1))[:, None]).astype("i1")
+            unit = _unit(batch, dim)
+            small = np.round(unit * (32767 / np.abs(unit).max(axis=1))[:, None]).astype("i2")
             code = codes(unit, trees)
+            ident, asked = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            mix = (ident.astype("u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             for t in range(trees):
-                lo, hi = np.searchsorted(cuts[t], code[:, t], "left"), np.searchsorted(cuts[t], code[:, t], "right")
-                part = lo + (rng.random(len(lo)) * (hi - lo + 1)).astype("i8")  # a hot code lies on several cuts
-                yield pa.RecordBatch.from_arrays([pa.array(part * trees + t), pa.array(code[:, t]), batch.column(0), batch.column(2), _binary(small)], ["part", "code", "id", "q", "vec"])
+                node = (code[:, t] >> (BITS - depth)) + (t << depth)
+                c = blocks[node]
+                mine = (mix % c.astype("u8")).astype("i8")
+                for other in range(int(c.max())):
+                    at = np.flatnonzero(c > other)
+                    lo, hi = np.minimum(mine[at], other), np.maximum(mine[at], other)
+                    side = (mine[at] > other).astype("i4")
+                    yield pa.RecordBatch.from_arrays([pa.array(part[node[at]]), pa.array(lo * c[at] + hi), pa.array(side), pa.array(code[at, t]), pa.array(ident[at]), pa.array(asked[at]), _binary(small[at])], names)
 
     return run
 
 
-def _searcher(k: int, least: float, leaf: int, dim: int):
-    """Rows sorted by part and code -> the candidates (id, nbr, approx) of each query in its leaf."""
-
-    def search(code, ident, query, small) -> pa.RecordBatch | None:
+def _searcher(k: int, least: float, leaf: int, depth: int, part_blocks: np.ndarray, dim: int):
+    """Rows sorted by part, block, side and code -> the candidates (id, nbr, approx) of each query in its leaf."""
+
+    def against(ident, unit, rows, a, b):
+        """The rows' candidates among a..b: of each row all that may be among its k best there."""
+        step = max(1, CELLS // max(1, b - a))
+        for first in range(0, len(rows), step):
+            some = rows[first : first + step]
+            sims = unit[some] @ unit[a:b].T
+            inside = (some >= a) & (some < b)
+            sims[np.flatnonzero(inside), some[inside] - a] = -2
+            bound = np.full(len(some), least, "f4")
+            if b - a > k and np.count_nonzero(sims >= least) > k * len(some) // 2:
+                bound = np.maximum(bound, np.partition(sims, b - a - k, axis=1)[:, b - a - k] - np.float32(2 * SLACK))
+            i, j = np.divmod(np.flatnonzero(sims >= bound[:, None]), b - a)
+            yield ident[some[i]], ident[a + j], sims[i, j]
+
+    def search(blocks, side, code, ident, query, small) -> Iterator[pa.RecordBatch]:
         unit = small.astype("f4")
         unit /= np.sqrt(np.einsum("ij,ij->i", unit, unit))[:, None]
-        found = []
-        for lo, hi, a, b in leaves(code, leaf):
-            rows = lo + np.flatnonzero(query[lo:hi])
-            if not len(rows):
-                continue
-            sims = unit[rows] @ unit[a:b].T
-            sims[np.arange(len(rows)), rows - a] = -2
-            keep = min(4 * k, b - a)
-            i, j = np.divmod(np.flatnonzero(sims >= least), b - a)
-            s = sims[i, j]
-            if len(i) > keep * len(rows) // 2:  # some rows may have more than can be among the best
-                order = np.lexsort((-s, i))
-                i, j, s = i[order], j[order], s[order]
-                rank = np.arange(len(i)) - np.searchsorted(i, i)
-                i, j, s = i[rank < keep], j[rank < keep], s[rank < keep]
-            found.append((ident[rows[i]], ident[a + j], s))
-        if not found:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["id", "nbr", "approx"])
+        if blocks > 1:
+            edge = int(np.searchsorted(side, 1))
+            # One block against itself, or two against each other.
+            todo = [(0, len(code), 0, len(code))] if edge == len(code) else [(0, edge, edge, len(code)), (edge, len(code), 0, edge)]
+        else:
+            todo = leaves(code, leaf, depth)
+        found, held = [], 0
+        for lo, hi, a, b in todo:
+            for one in against(ident, unit, lo + np.flatnonzero(query[lo:hi]), a, b):
+                found.append(one)
+                held += len(one[0])
+                if held > CELLS // 8:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["id", "nbr", "approx"])
+                    found, held = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["id", "nbr", "approx"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -144,18 +201,17 @@ def _searcher(k: int, least: float, leaf: int, dim: int):
             if held:
                 t = pa.Table.from_batches(held)
                 held.clear()
-                if out := search(t["code"].to_numpy(), t["id"].to_numpy(), t["q"].to_numpy(), _matrix(t["vec"].combine_chunks(), "i1", dim)):
-                    yield out
+                yield from search(part_blocks[at[0]], *(t[x].to_numpy() for x in ("side", "code", "id", "q")), _matrix(t["vec"].combine_chunks(), "i2", dim))
 
         for batch in batches:
-            part = batch.column(0).to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)]
+            part, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero((np.diff(part) != 0) | (np.diff(block) != 0)) + 1), len(part)]
             for a, b in zip(edges, edges[1:]):
                 if b <= a:
                     continue
-                if part[a] != at or sum(x.num_rows for x in held) > 64 * leaf:
+                if (part[a], block[a]) != at:
                     yield from flush()
-                at = part[a]
+                at = (part[a], block[a])
                 held.append(batch.slice(a, b - a))
         yield from flush()
 
@@ -179,7 +235,8 @@ def nearest(vectors: DataFrame, k: int = 10, least: float = 0.88, queries: str =
     ``vectors`` is (id long, v array<float>); null, short, zero or non-finite vectors are
     left out.  Equal vectors are indexed once and expanded afterwards, so a group of copies
     of any size costs one entry.  Ties go to the smaller id.  ``queries`` is a condition on
-    id.  ``recall`` is the expected share of pairs at ``least`` + 0.06 that meet in a tree.
+    id.  ``recall`` is the expected share of pairs at ``least`` that meet in a tree,
+    however the vectors are spread.
     """
     spark = vectors.sparkSession
     rows = usable(vectors.select("id", "v"), dim).withColumn("key", F.xxhash64("v")).withColumn("key2", F.hash(F.reverse("v")))
@@ -188,19 +245,25 @@ def nearest(vectors: DataFrame, k: int = 10, least: float = 0.88, queries: str =
     points = persist_table(rows.groupBy("key", "key2").agg(F.min("id").alias("pid"), F.count("*").alias("n"), F.max(F.expr(f"cast(({queries}) as int)")).alias("q"), F.first("v").alias("v")), "p7-points")
     n = points.count()
     leaf = leaf or leaf_for(n)
-    trees = trees_for(n, min(0.99, least + 0.06), recall, leaf)
-    sample = [r[0] for r in points.orderBy(F.xxhash64("pid")).limit(SAMPLE).select("v").collect()]
-    unit = np.asarray(sample, dtype="f4").reshape(-1, dim)
-    unit = unit / np.linalg.norm(unit, axis=1)[:, None] if len(unit) else unit
-    parts = max(1, min(math.ceil(n / (16 * leaf)), len(unit) // 8))  # a part may be larger than the memory: it is searched in chunks
-    cuts = np.sort(codes(unit, trees), axis=0)[[len(unit) * i // parts for i in range(1, parts)]].T if len(unit) and parts > 1 else np.zeros((trees, 0), "i8")
-    hashed = points.select(F.col("pid").alias("id"), "v", F.col("q").cast("int").alias("q")).mapInArrow(_hasher(trees, cuts, dim), "part long, code long, id long, q int, vec binary")
+    depth = depth_for(n, leaf)
+    trees = trees_for(depth, least, recall)
+    # At most trees * 2**depth nodes: fewer than trees * rows / leaf.
+    nodes = points.select(F.col("pid").alias("id"), "v").mapInArrow(_counter(trees, depth, dim), "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(trees << depth, "i8")
+    counts[nodes["node"].to_numpy()] = nodes["n"].to_numpy()
+    part, blocks = _parts(counts, depth, leaf)
+    part_blocks = np.ones(int(part[-1]) + 1, "i8")
+    np.maximum.at(part_blocks, part, blocks)
+    hashed = points.select(F.col("pid").alias("id"), "v", F.col("q").cast("int").alias("q")).mapInArrow(_hasher(trees, depth, part, blocks, dim), "part long, block long, side int, code long, id long, q int, vec binary")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = hashed.repartition(max(width, min(4 * width, parts * trees)), "part").sortWithinPartitions("part", "code")
-    near = sorted_.mapInArrow(_searcher(k, least - SLACK, leaf, dim), "id long, nbr long, approx float")
+    tasks = int((part_blocks * (part_blocks + 1) // 2).sum())
+    sorted_ = hashed.repartition(max(width, min(4 * width, tasks)), "part", "block").sortWithinPartitions("part", "block", "side", "code")
+    near = sorted_.mapInArrow(_searcher(k, least - SLACK, leaf, depth, part_blocks, dim), "id long, nbr long, approx float")
     near = near.groupBy("id", "nbr").agg(F.max("approx").alias("approx"))
+    # All that rounding may have put behind the k-th are scored exactly.
     mine = Window.partitionBy("id").orderBy(F.desc("approx"), "nbr")
-    near = near.withColumn("r", F.row_number().over(mine)).filter(F.col("r") <= 4 * k)
+    near = near.withColumn("r", F.row_number().over(mine))
+    near = near.withColumn("kth", F.min(F.when(F.col("r") <= k, F.col("approx"))).over(Window.partitionBy("id"))).filter(F.col("approx") >= F.col("kth") - 2 * SLACK)
     ends = points.select("pid", "v", "key", "key2")
     near = near.join(ends.select(F.col("pid").alias("id"), F.col("v").alias("va"), "key", "key2"), "id").join(ends.select(F.col("pid").alias("nbr"), F.col("v").alias("vb"), F.col("key").alias("nkey"), F.col("key2").alias("nkey2")), "nbr")
     near = near.select("key", "key2", "nkey", "nkey2", F.expr(_cosine()).alias("similarity")).filter(F.col("similarity") >= least)

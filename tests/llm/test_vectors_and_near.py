@@ -103,3 +103,19 @@ def test_long_lists_of_different_edits_are_compared_whole(spark, monkeypatch):
     monkeypatch.setattr(N, "LIST", 16)
     got, want = found_and_wanted(spark, hot_group(random.Random(9), 300, 600))
     assert got <= want and len(got) >= 0.85 * len(want)
+
+
+def test_recall_in_a_dense_cluster(spark, monkeypatch):
+    """A third of the rows in one cluster: every list is as by brute force, also where nodes are compared in blocks."""
+    monkeypatch.setattr(V, "BLOCK", 2, raising=False)
+    rng = np.random.default_rng(7)
+    m = rng.standard_normal((6000, 64))
+    m[:2000] = rng.standard_normal(64) + 0.25 * rng.standard_normal((2000, 64))
+    m = m.astype("f4")
+    got = {(r.id, r.nbr) for r in V.nearest(vectors(spark, m), leaf=64).collect()}
+    u = m.astype("f8") / np.linalg.norm(m.astype("f8"), axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -1)
+    want = {(i, int(j)) for i in range(len(m)) for j in np.argsort(-s[i])[:10] if s[i, j] >= 0.88}
+    assert len(want) >= 15_000
+    assert len(got & want) >= 0.98 * len(want)
