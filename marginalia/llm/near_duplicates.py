@@ -1,11 +1,11 @@
 """Groups of records with nearly the same words, by bottom-k sketches.
 
-One hash function orders the words of all records, words of many records last.  A
-record's sketch is its k first words.  Inverted lists are kept of runs of neighbouring
-sketch values, each run just long enough to be rare in a collection of this size, so
-lists stay short however common the single words are.  Records that meet in a list are
-compared by a parity sketch that bounds their difference, then by the estimate from the
-sketch of their union, then exactly.
+A record's sketch is its k least words by one hash function.  Inverted lists are kept of
+runs of least words in independent orders; a run's length is fixed, and there are as many
+orders as the recall asks for at the threshold, so neither the size of the collection nor
+how common a group makes its words changes which pairs meet.  Records that meet in a list
+are compared by a parity sketch that bounds their difference, then by the estimate from
+the sketch of their union, then exactly.
 """
 
 from __future__ import annotations
@@ -22,80 +22,59 @@ from marginalia.storage import load, persist_table
 
 from .forest import spanning_forest
 
-#: Words of less than this share of all records count as this rare; at most (words per record) / RARE words are more common.
-RARE = 1e-3
-COMMON = 0.05
-#: Records that a run would be expected in by chance.
-BY_CHANCE = 1.0
 LIST = 256
-#: Sketch values after which a run is long enough, however common they are: where one group makes words common.
-RUN = 10
+#: Share of the pairs at the threshold that meet in a list.
+RECALL = 0.999
 _MULT = 0x9E3779B97F4A7C15
-_ONES = 2**64 - 1
+SEED = 20_240_611
 
 
 def sketch_size(records: int) -> int:
     return max(32, 8 * math.ceil(math.log10(max(10, records))))
 
 
+def run_length(records: int) -> int:
+    """Words of a run: longer in a larger collection, which takes more orders for the same recall but fewer chance meetings."""
+    return 5 + (records > 10**6) + (records > 10**8)
+
+
+def runs_for(length: int, threshold: float, recall: float = RECALL) -> int:
+    """Runs in which two sets of that Jaccard similarity share one with probability ``recall``."""
+    p = threshold**length
+    return 1 if p >= recall else math.ceil(math.log(1 - recall) / math.log(1 - p))
+
+
 def word_set(text: Column) -> Column:
     """Sorted 64-bit hashes of the different words: runs of letters and digits, lower case."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
     return F.array_sort(F.transform(F.array_distinct(words), lambda w: F.xxhash64(w)))
 
 
-def _lister(k: int, records: int, common: np.ndarray, weight: np.ndarray):
-    """id, kind, ws -> key, id, sz, p0, p1 for each run of the sketch."""
-    limit = math.log10(BY_CHANCE / max(records, 1))
-    powers = np.empty(k + 2, "u8")
-    inverse = np.empty(k + 2, "u8")
-    inv = pow(_MULT, -1, 2**64)
-    a, b = 1, 1
-    for i in range(k + 2):
-        powers[i], inverse[i] = a, b
-        a, b = a * _MULT & _ONES, b * inv & _ONES
+def _lister(runs: int, length: int):
+    """id, kind, ws -> key, id, sz, p0, p1 for each run: the least words in ``length`` orders."""
+    rng = np.random.default_rng(SEED)
+    shift, odd = rng.integers(0, 2**64, (2, runs * length), dtype="u8")
+    odd |= np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ws = batch.column(2)
-            h = ws.flatten().to_numpy(zero_copy_only=False).astype("i8")
+            u = ws.flatten().to_numpy(zero_copy_only=False).astype("i8").view("u8")
             size = np.diff(ws.offsets.to_numpy()).astype("i8")
-            if not len(h):
+            if not len(u):
                 continue
             doc = np.repeat(np.arange(len(size)), size)
-            at = np.clip(np.searchsorted(common, h), 0, max(0, len(common) - 1))
-            known = (common[at] == h) if len(common) else np.zeros(len(h), bool)
-            w = np.where(known, weight[at] if len(common) else 0.0, math.log10(RARE))
-            u = h.view("u8")
             parity = [np.zeros(len(size), "u8"), np.zeros(len(size), "u8")]
             for half in (0, 1):
                 mine = (u >> np.uint64(6)) & np.uint64(1) == half
                 np.bitwise_xor.at(parity[half], doc[mine], np.uint64(1) << (u[mine] & np.uint64(63)))
-            order = np.lexsort((u >> np.uint64(7), w > math.log10(COMMON), doc))
-            u, w, doc = u[order], w[order], doc[order]
-            first = np.concatenate([[0], np.cumsum(size)[:-1]])
-            pos = np.arange(len(u)) - first[doc]
-            kept = pos < k
-            u, w, doc, pos = u[kept], w[kept], doc[kept], pos[kept]
-            n = len(u)
-            total = np.concatenate([[0.0], np.cumsum(w)])
-            # A run must be as rare as the limit; the least end that is, by a search in the falling sums.
-            end = np.minimum(np.searchsorted(-total, -(total[:-1] + limit) - 1e-9), np.arange(n) + RUN)
-            last = np.searchsorted(doc, doc, "right")
-            ok = end <= last
-            # Records too short for any rare run are listed by their whole sketch.
-            short = np.ones(len(size), bool)
-            short[doc[ok]] = False
-            ok |= (pos == 0) & short[doc]
-            end = np.minimum(end, last)[ok]
-            start = np.flatnonzero(ok)
-            mixed = (u ^ (u >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            prefix = np.concatenate([np.zeros(1, "u8"), np.cumsum(mixed * powers[pos], dtype="u8")])
-            kind = batch.column(1).to_numpy().astype("u8")[doc[start]]
-            key = (prefix[end] - prefix[start]) * inverse[pos[start]] + kind * np.uint64(_MULT)
-            d = doc[start]
-            cols = [key.view("i8"), batch.column(0).to_numpy()[d], size[d].astype("i4"), parity[0][d].view("i8"), parity[1][d].view("i8")]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "id", "sz", "p0", "p1"])
+            first = np.cumsum(size) - size
+            rest = [pa.array(x) for x in (batch.column(0).to_numpy(), size.astype("i4"), parity[0].view("i8"), parity[1].view("i8"))]
+            for r in range(runs):
+                key = batch.column(1).to_numpy().astype("u8") * np.uint64(runs) + np.uint64(r)
+                for i in range(r * length, (r + 1) * length):
+                    key = (key ^ (key >> np.uint64(29))) * np.uint64(_MULT) + np.minimum.reduceat((u ^ shift[i]) * odd[i], first)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view("i8")), *rest], ["key", "id", "sz", "p0", "p1"])
 
     return run
 
@@ -140,12 +119,8 @@ def similar_records(records: DataFrame, threshold: float = 0.7) -> tuple[DataFra
     sets = persist_table(sets.withColumn("h0", F.xxhash64("ws")).withColumn("h1", F.xxhash64(F.reverse("ws"))), "p6-sets")
     reps = persist_table(sets.groupBy("kind", "h0", "h1").agg(F.min("rid").alias("id"), F.count("*").alias("copies"), F.first("ws").alias("ws")), "p6-reps")
     n = reps.count()
-    common = reps.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= F.lit(max(2.0, RARE * n))).toArrow()
-    words = common["w"].to_numpy().astype("i8") if n else np.zeros(0, "i8")
-    weight = np.log10(np.maximum(RARE, common["n"].to_numpy() / max(n, 1))) if n else np.zeros(0)
-    order = np.argsort(words)
-    k = sketch_size(n)
-    rows = reps.select("id", "kind", "ws").mapInArrow(_lister(k, n, words[order], weight[order]), "key long, id long, sz int, p0 long, p1 long")
+    k, length = sketch_size(n), run_length(n)
+    rows = reps.select("id", "kind", "ws").mapInArrow(_lister(runs_for(length, threshold), length), "key long, id long, sz int, p0 long, p1 long")
     rows = persist_table(rows, "p6-lists")
     pairs = _pairs(_split(rows), threshold).distinct()
     # The k least of the union's values, by value: its estimate of the similarity errs by a standard error of 0.5 / sqrt(k).

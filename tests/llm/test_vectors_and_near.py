@@ -119,3 +119,15 @@ def test_recall_in_a_dense_cluster(spark, monkeypatch):
     want = {(i, int(j)) for i in range(len(m)) for j in np.argsort(-s[i])[:10] if s[i, j] >= 0.88}
     assert len(want) >= 15_000
     assert len(got & want) >= 0.98 * len(want)
+
+
+def test_a_hot_group_keeps_its_links(spark):
+    """Words that a group makes common don't change which pairs meet."""
+    got, want = found_and_wanted(spark, hot_group(random.Random(9), 300, 0))
+    assert got <= want and len(got) >= 0.995 * len(want)
+
+
+def test_recall_of_runs_does_not_fall_with_the_size():
+    for records in (10, 10**5, 10**7, 10**9):
+        length = N.run_length(records)
+        assert 1 - (1 - 0.7**length) ** N.runs_for(length, 0.7) >= 0.999
