@@ -26,7 +26,7 @@ HYPHENS = "-­‐¬~"
 #: Times a line must appear in different texts to count as running, and a word must be as frequent as its misreading.
 REPEATS = 3
 RATIO = 8
-#: Words of more than this share of the texts are taken as they are; at most (words per text) / COMMON words.
+#: Words of more than this share of the texts are taken as they are unless another is much more frequent; at most (words per text) / COMMON words.
 COMMON = 1e-3
 
 _PAGE = regex.compile(r"[\[|~–—-]*\s*(?:(?:page|seite|pág\.|pag\.|pp?\.|s\.)\s*)?(?=\S*\d)[\dlOIS]{1,5}(?:\s*(?:/|of|von|de|sur)\s*[\dlOIS]{1,5})?\s*[\]|~–—-]*", regex.I)
@@ -182,11 +182,13 @@ def survey(texts: DataFrame, papers: DataFrame) -> Findings:
     """Find the noise of texts(field int, rec_key string, paper_id long, text string).
 
     ``papers`` is (paper_id, title, authors, journal); texts without a known paper are
-    judged by repetition alone.  Null and empty texts have no noise.  Counts are taken
-    over all texts.
+    judged by repetition alone.  Null and empty texts have no noise.  Lines are counted
+    over all texts, words once for all texts of the same words, however many copies there are.
     """
-    seen = persist_table(texts.select("field", "rec_key", F.col("paper_id").cast("long").alias("paper_id"), "text").mapInArrow(_reader, _SCHEMA), "p4-read")
-    n = seen.count()
+    seen = texts.select("field", "rec_key", F.col("paper_id").cast("long").alias("paper_id"), "text").mapInArrow(_reader, _SCHEMA)
+    seen = persist_table(seen.withColumn("same", F.xxhash64(F.array_sort("words"), F.array_sort("compounds"), "splits")), "p4-read")
+    once = persist_table(seen.select("same", "words", "compounds").dropDuplicates(["same"]), "p4-once")
+    n = once.count()
     key = ["field", "rec_key"]
     # Running heads.
     lines = persist_table(seen.select(*key, "paper_id", F.explode("heads").alias("h")).select(*key, "paper_id", "h.*"), "p4-lines")
@@ -200,10 +202,10 @@ def survey(texts: DataFrame, papers: DataFrame) -> Findings:
     heads = named.select(*key, "line", "core", F.col("n").cast("long").alias("n"), "title", "authors", "journal").mapInArrow(_head_judge, "field int, rec_key string, line int, is_head boolean")
     heads = persist_table(heads.filter("is_head").drop("is_head"), "p4-heads")
     # The vocabulary of words that no line end splits.
-    vocabulary = persist_table(seen.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")), "p4-words")
-    compounds = seen.select(F.explode("compounds").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    vocabulary = persist_table(once.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")), "p4-words")
+    compounds = once.select(F.explode("compounds").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     # Words split over lines.
-    splits = persist_table(seen.select(*key, F.explode("splits").alias("s")).select(*key, "s.*"), "p4-splits")
+    splits = persist_table(seen.select(*key, "same", F.explode("splits").alias("s")).select(*key, "same", "s.*"), "p4-splits")
     kinds = splits.groupBy("a", "b", "hard").agg(F.count("*").alias("c")).drop("c").withColumn("joined", F.concat("a", "b")).withColumn("hyphened", F.concat_ws("-", "a", "b"))
     count = lambda table, on, to: table.select(F.col("word").alias(on), F.col("n").alias(to))
     kinds = kinds.join(count(vocabulary, "joined", "n_joined"), "joined", "left").join(count(compounds, "hyphened", "n_hyphened"), "hyphened", "left")
@@ -211,12 +213,11 @@ def survey(texts: DataFrame, papers: DataFrame) -> Findings:
     whole = (F.col("n_joined") > 0) | (F.least("n_a", "n_b") < 5)
     kinds = persist_table(kinds.select("a", "b", "hard", (F.col("hard") | (whole & (F.col("n_hyphened") <= F.col("n_joined")))).alias("cut")), "p4-kinds")
     judged = splits.join(kinds, ["a", "b", "hard"])
-    # Misread words: rare ones that turn into much more frequent ones when confusions are undone.
-    rare = vocabulary.filter(F.col("n") <= max(3.0, COMMON * n))
+    # Misread words: those that turn into much more frequent ones when confusions are undone.
     # Words that only stand at the end of lines are judged as well.
-    ends = judged.filter("cut").select(*key, F.concat("a", "b").alias("word"))
-    only = ends.groupBy("word").agg(F.count("*").alias("n")).join(vocabulary.select("word"), "word", "left_anti")
-    suspects = rare.unionByName(only).filter(F.col("word").rlike("[cflq015si]|rn|vv|o")).mapInArrow(_suspects, "word string, n long, meant string")
+    ends = judged.filter("cut").select(*key, "same", F.concat("a", "b").alias("word"))
+    only = ends.groupBy("word").agg(F.count_distinct("same").alias("n")).join(vocabulary.select("word"), "word", "left_anti")
+    suspects = vocabulary.unionByName(only).filter(F.col("word").rlike("[cflq015si]|rn|vv|o")).mapInArrow(_suspects, "word string, n long, meant string")
     fixes = suspects.join(count(vocabulary, "meant", "n_meant"), "meant")
     # Short words and numbers are near many others, so they need more evidence.
     need = F.when(F.length("word") <= 3, 100).when(F.col("word").rlike(r"^[0-9.,]+$"), 10**9).otherwise(RATIO)
@@ -224,10 +225,10 @@ def survey(texts: DataFrame, papers: DataFrame) -> Findings:
     enough = (F.col("n_meant") >= F.col("n") * need) | ((F.length("word") >= 6) & (F.col("n") == 1) & (F.col("n_meant") >= F.when(mixed, 1).otherwise(3)))
     fixes = fixes.filter(enough).groupBy("word").agg(F.max_by("meant", "n_meant").alias("meant"))
     odd = F.col("word").rlike(r"^(?=.*[0-9])[0-9.,osli]*[osli][0-9.,osli]*$") & (F.length("word") > 2)
-    numbers = rare.filter(odd).select("word", F.translate("word", "osli", "0511").alias("meant"))
+    numbers = vocabulary.filter(F.col("n") <= max(3.0, COMMON * n)).filter(odd).select("word", F.translate("word", "osli", "0511").alias("meant"))
     fixes = persist_table(fixes.unionByName(numbers.join(fixes.select("word"), "word", "left_anti")), "p4-fixes")
-    common = vocabulary.filter(F.col("n") > max(3.0, COMMON * n)).select("word")
-    held = seen.select(*key, F.explode("words").alias("word")).join(F.broadcast(common), "word", "left_anti").unionByName(ends)
+    common = vocabulary.filter(F.col("n") > max(3.0, COMMON * n)).select("word").join(fixes.select("word"), "word", "left_anti")
+    held = seen.select(*key, F.explode("words").alias("word")).join(F.broadcast(common), "word", "left_anti").unionByName(ends.drop("same"))
     misread = held.join(fixes, "word").select(*key, "word", "meant").distinct()
     return Findings(heads=heads, splits=judged.filter("cut").select(*key, "a", "b"), compounds=judged.filter("not cut").select(*key, "a", "b"), fixes=fixes, misread=misread, pages=seen.filter("page").select(*key))
 

@@ -169,3 +169,20 @@ def test_label_model_separates_pairs_with_known_defects():
 def test_codes_round_trip():
     for v in ((-1, 0, 1), (1, 1, 1, 1), (0,)):
         assert D.decode(D.encode(v), len(v)) == v
+
+
+def _misread(spark, texts):
+    rows = [(1, str(i), None, t) for i, t in enumerate(texts)]
+    papers = spark.createDataFrame([], "paper_id long, title string, authors string, journal string")
+    found = N.survey(spark.createDataFrame(rows, "field int, rec_key string, paper_id long, text string"), papers).misread
+    return {(int(r.rec_key), r.word, r.meant) for r in found.collect()}
+
+
+def test_copies_do_not_hide_a_misread_word(spark):
+    texts = [f"The record number{i} is preserved" for i in range(60)] + ["The other record is prcserved here"] * 30
+    assert _misread(spark, texts) == {(i, "prcserved", "preserved") for i in range(60, 90)}
+
+
+def test_a_common_misread_word_is_judged_by_its_correction(spark):
+    texts = [f"The record number{i} is preserved" for i in range(400)] + [f"The other number{i} is prcserved here" for i in range(10)]
+    assert _misread(spark, texts) == {(i, "prcserved", "preserved") for i in range(400, 410)}
