@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.functions import vectors as V
 from marginalia.sources import files as S
-from marginalia.storage import load, shared_dir
+from marginalia.storage import load, new_path
 
 
 def _dump(spark, d) -> str:
@@ -19,7 +17,7 @@ def _dump(spark, d) -> str:
     licence = F.element_at(F.array(F.lit("CC-BY"), F.lit("closed"), F.lit("cc0")), (F.col("paper_id") % 3 + 1).cast("int"))
     loc = F.struct(licence.alias("license"), F.col("full_text_link").alias("pdf_url"), F.struct(F.col("journal").alias("display_name")).alias("source"))
     w = p.select(F.concat(F.lit("https://works.example/W"), "paper_id").alias("id"), F.concat(F.lit("https://doi.org/10.9/P"), "paper_id").alias("doi"), "title", F.col("published_year").alias("publication_year"), F.transform(names, lambda n: F.struct(F.struct(n.alias("display_name")).alias("author"))).alias("authorships"), loc.alias("best_oa_location"), (F.col("paper_id") % 11 == 0).alias("is_retracted"))
-    out = f"{shared_dir(spark)}/marginalia/works-{uuid.uuid4().hex}"
+    out = new_path(spark, "works")
     w.write.json(out)
     return out
 
@@ -39,7 +37,7 @@ def q_collected_ids(spark, d):
 def q_manifest(spark, d):
     """A manifest of odd papers after an upsert of every third paper: read back from its new version."""
     p = load(spark, d, "papers").filter("paper_id is not null").select(F.concat(F.lit("W"), "paper_id").alias("source_id"), T.collapse(F.col("title")).alias("title"), F.col("paper_id").alias("byte_size"))
-    path = f"{shared_dir(spark)}/marginalia/manifest-{uuid.uuid4().hex}"
+    path = new_path(spark, "manifest")
     p.filter("byte_size % 2 = 1").write.json(path)
     new = p.filter("byte_size % 3 = 0").withColumn("title", F.lower("title")).withColumn("byte_size", -F.col("byte_size"))
     return S.jsonl(spark, S.manifest_upsert(spark, path, new), S.MANIFEST).select("source_id", "title", "byte_size")

@@ -7,24 +7,21 @@ when the session names none and runs in local mode (tests).
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[str] = []
+#: Spark deletes the shuffle files of a finished execution where this is set, instead of when the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_folders: set[str] = set()
 
 
-def _forget() -> None:
-    """Delete what was written below a local folder, when the interpreter ends and nothing can read it any more."""
-    for path in _written:
-        if path.startswith(("file:", "/")):
-            shutil.rmtree(path.removeprefix("file:").replace("//", "/"), ignore_errors=True)
-
-
-atexit.register(_forget)
+def _file_system(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop, whatever the scheme."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,31 +32,55 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="marginalia-")
         spark.conf.set("spark.checkpoint.dir", base)
-        atexit.register(shutil.rmtree, base[len("file://"):], True)
     return base.rstrip("/")
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A path for a table of the application's own folder; what is left there goes when the driver ends, on any file system."""
+    folder = f"{shared_dir(spark)}/marginalia/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        fs, at = _file_system(spark, folder)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _folders.add(folder)
+    return f"{folder}/{tag}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def _shuffles_dropped(spark: SparkSession):
+    """Shuffle files of the executions inside go as soon as each has ended: their results are written tables."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def persist_table(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage.
 
     The copy is durable, columnar and compressed, and later plans get its true
-    size as statistics.  The schema is kept as it is, nullability aside.
+    size as statistics.  The schema is kept as it is, nullability aside.  The
+    shuffles that made it are not kept beside it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/marginalia/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
+    path = new_path(spark, tag)
+    with _shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete a table made by :func:`persist_table` once nothing reads it any more."""
-    spark = df.sparkSession
-    for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        if "/marginalia/" in path:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def drop_table(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`persist_table` once nothing reads them any more."""
+    for df in tables:
+        for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+            if "/marginalia/" in path:
+                fs, at = _file_system(df.sparkSession, path)
+                fs.delete(at, True)
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

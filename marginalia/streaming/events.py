@@ -5,7 +5,6 @@ The reference has no streams; these are extensions over the same log tables.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from marginalia.storage import load, shared_dir
+from marginalia.storage import load, new_path
 
 
 def read_stream(spark: SparkSession, sf_dir: str, table: str = "events", files: int = 1) -> DataFrame:
@@ -63,7 +62,7 @@ def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
     For ``update`` and ``complete`` results the sink keeps each batch's rows with its number.
     """
     spark = stream.sparkSession
-    out = f"{shared_dir(spark)}/marginalia/stream-{uuid.uuid4().hex}"
+    out = new_path(spark, "stream")
     schema = stream.schema.add("_batch", "long")
 
     spark.createDataFrame([], schema).write.parquet(f"{out}/data/b=-1")  # there may be no batch at all
