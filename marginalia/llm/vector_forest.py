@@ -3,9 +3,12 @@
 Each tree hashes a vector to a string of sign bits of random projections and keeps the
 strings in a sorted array.  A node of a tree is a range of the array with a common
 prefix; descending lengthens the prefix until few enough rows are left, so its length
-varies with the density, up to a depth that the number of trees is fitted to: a node of that
-depth is compared whole, in blocks, however many rows it holds, so a dense cluster is
-found like any other rows.  Ranges that come out too small ascend to a shorter prefix.
+varies with the density, down to a level that is the same for all trees: the number of
+trees is fitted to it, and a node of that level is compared whole, in blocks, however many
+rows it holds, so a dense cluster is found like any other rows.  Ranges that come out too
+small ascend to a shorter prefix.  A leaf holds as many rows in a collection of any size;
+the level grows with the logarithm of the rows.  Trees are searched a few at a time, each
+wave keeping what may still be among the best, so disk holds the rows of one wave only.
 Candidates are scored on vectors rounded to 16 bits; all that can be among the best are
 scored again exactly.
 """
@@ -22,14 +25,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marginalia.skew import hot_aware_join
-from marginalia.storage import load, persist_table
+from marginalia.storage import drop_table, load, persist_table
 
 DIM = 64
 BITS = 32
 LEAF = 1024
 MIN_TREES = 8
+#: Trees that are hashed, shuffled and searched together.
+WAVE = 8
 #: Leaves of rows that one task compares at once; larger nodes are compared in blocks of that many.
 BLOCK = 64
+#: Leaves of evenly spread rows in a part, the unit of the shuffle.
+PART = 16
 #: Similarities held at once.
 CELLS = 1 << 22
 #: Rounding to 16 bits moves a cosine by less than this.
@@ -37,21 +44,17 @@ SLACK = 2.5e-4
 SEED = 20_240_607
 
 
-def planes(trees: int, dim: int = DIM) -> np.ndarray:
-    return np.random.default_rng(SEED).standard_normal((dim, trees * BITS)).astype("f4")
+def planes(first: int, trees: int, dim: int = DIM) -> np.ndarray:
+    """The projections of ``trees`` trees from number ``first`` on, each tree by its own seed."""
+    return np.concatenate([np.random.default_rng((SEED, t)).standard_normal((dim, BITS)) for t in range(first, first + trees)], axis=1).astype("f4")
 
 
-def codes(unit: np.ndarray, trees: int) -> np.ndarray:
+def codes(unit: np.ndarray, projections: np.ndarray) -> np.ndarray:
     """Hash strings as integers, shape (rows, trees); the first bit of the string is the highest."""
-    bits = (unit @ planes(trees, unit.shape[1]) > 0).reshape(len(unit), trees, BITS)
+    bits = (unit @ projections > 0).reshape(len(unit), -1, BITS)
     return bits @ (1 << np.arange(BITS - 1, -1, -1, dtype="i8"))
 
 
-def leaf_for(rows: int) -> int:
-    """Rows of a leaf: grows with the root of the collection, so that scoring and shuffling grow alike."""
-    return int(LEAF * max(1.0, (rows / 200_000) ** 0.5))
-
-
 def depth_for(rows: int, leaf: int = LEAF) -> int:
     """Longest prefix of a node: two to four leaves of evenly spread rows share one."""
     return min(BITS - 1, int(math.log2(max(1.0, rows / (2 * leaf)))))
@@ -63,6 +66,12 @@ def trees_for(depth: int, similarity: float, recall: float) -> int:
     return 1 if p > 0.999 else max(MIN_TREES, math.ceil(math.log(1 - recall) / math.log(1 - p)))
 
 
+def waves_for(trees: int) -> list[tuple[int, int]]:
+    """(first tree, trees) of each wave, as even as can be."""
+    n = math.ceil(trees / WAVE)
+    return [(trees * i // n, trees * (i + 1) // n - trees * i // n) for i in range(n)]
+
+
 def leaves(code: np.ndarray, leaf: int, deepest: int = BITS) -> list[tuple[int, int, int, int]]:
     """(first, end, candidates' first, candidates' end) of each leaf of a sorted array of codes; nodes of the ``deepest`` level stay whole."""
     out, todo = [], [(0, len(code), 0, [(0, len(code))])]
@@ -101,62 +110,68 @@ def _unit(batch: pa.RecordBatch, dim: int) -> np.ndarray:
     return v / np.sqrt(np.einsum("ij,ij->i", v.astype("f8"), v.astype("f8")))[:, None].astype("f4")
 
 
-def _counter(trees: int, depth: int, dim: int):
-    """id, v -> node, n: rows of each node of the deepest level, node = tree * 2**depth + prefix."""
+def _counter(first: int, trees: int, depth: int, dim: int):
+    """id, v -> node, n: rows of nodes of the common level, node = tree of the wave * 2**depth + prefix; partial counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(trees << depth, "i8")
+        projections = planes(first, trees, dim)
+        held: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            at, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], ["node", "n"])
+
         for batch in batches:
             if batch.num_rows:
-                nodes = (codes(_unit(batch, dim), trees) >> (BITS - depth)) + (np.arange(trees) << depth)
-                n += np.bincount(nodes.ravel(), minlength=len(n))
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["node", "n"])
+                held.append(((codes(_unit(batch, dim), projections) >> (BITS - depth)) + (np.arange(trees) << depth)).ravel())
+                if sum(map(len, held)) > 1 << 20:
+                    yield counted()
+        if held:
+            yield counted()
 
     return run
 
 
-def _parts(n: np.ndarray, depth: int, leaf: int) -> tuple[np.ndarray, np.ndarray]:
-    """Part and number of blocks of each node: neighbours of a tree share a part of about 16 leaves, nodes of over BLOCK leaves have their own."""
-    blocks = np.where(n > BLOCK * leaf, -(-n // (BLOCK * leaf)), 1)
-    tree = np.arange(len(n)) >> depth
-    room = np.where(blocks > 1, 0, n)
-    full = np.cumsum(room) // (16 * leaf)
-    new = np.ones(len(n), bool)
-    new[1:] = (tree[1:] != tree[:-1]) | (full[1:] != full[:-1]) | (blocks[1:] > 1) | (blocks[:-1] > 1)
-    return np.cumsum(new) - 1, blocks
-
-
-def _hasher(trees: int, depth: int, part: np.ndarray, blocks: np.ndarray, dim: int):
-    """id, v, q -> a row per tree, several in nodes of several blocks: part, block, side, code, id, q, vector in 16 bits.
+def _hasher(first: int, trees: int, depth: int, coarse: int, hot: np.ndarray, blocks: np.ndarray, dim: int):
+    """id, v, q -> a row per tree, several in hot nodes: part, block, side, code, id, q, vector in 16 bits.
 
-    A node of c blocks is compared by the pairs (i <= j) of its blocks; a row is on side 0 of its pairs as i, on side 1 as j.
+    ``hot`` are the sorted nodes of over BLOCK leaves, ``blocks`` their numbers of blocks;
+    each is a part of its own (below 0).  Other nodes share a part by their first
+    ``coarse`` bits.  A hot node of c blocks is compared by the pairs (i <= j) of its
+    blocks; a row is on side 0 of its pairs as i, on side 1 as j.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["part", "block", "side", "code", "id", "q", "vec"]
+        projections = planes(first, trees, dim)
         for batch in batches:
             if not batch.num_rows:
                 continue
             unit = _unit(batch, dim)
             small = np.round(unit * (32767 / np.abs(unit).max(axis=1))[:, None]).astype("i2")
-            code = codes(unit, trees)
+            code = codes(unit, projections)
             ident, asked = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             mix = (ident.astype("u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             for t in range(trees):
-                node = (code[:, t] >> (BITS - depth)) + (t << depth)
-                c = blocks[node]
+                part = (code[:, t] >> (BITS - coarse)) + (t << coarse)
+                c = np.ones(len(part), "i8")
+                if len(hot):
+                    node = (code[:, t] >> (BITS - depth)) + (t << depth)
+                    at = np.minimum(np.searchsorted(hot, node), len(hot) - 1)
+                    inside = hot[at] == node
+                    part, c = np.where(inside, -1 - at, part), np.where(inside, blocks[at], 1)
                 mine = (mix % c.astype("u8")).astype("i8")
                 for other in range(int(c.max())):
                     at = np.flatnonzero(c > other)
                     lo, hi = np.minimum(mine[at], other), np.maximum(mine[at], other)
                     side = (mine[at] > other).astype("i4")
-                    yield pa.RecordBatch.from_arrays([pa.array(part[node[at]]), pa.array(lo * c[at] + hi), pa.array(side), pa.array(code[at, t]), pa.array(ident[at]), pa.array(asked[at]), _binary(small[at])], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array(lo * c[at] + hi), pa.array(side), pa.array(code[at, t]), pa.array(ident[at]), pa.array(asked[at]), _binary(small[at])], names)
 
     return run
 
 
-def _searcher(k: int, least: float, leaf: int, depth: int, part_blocks: np.ndarray, dim: int):
+def _searcher(k: int, least: float, leaf: int, depth: int, dim: int):
     """Rows sorted by part, block, side and code -> the candidates (id, nbr, approx) of each query in its leaf."""
 
     def against(ident, unit, rows, a, b):
@@ -173,10 +188,10 @@ def _searcher(k: int, least: float, leaf: int, depth: int, part_blocks: np.ndarr
             i, j = np.divmod(np.flatnonzero(sims >= bound[:, None]), b - a)
             yield ident[some[i]], ident[a + j], sims[i, j]
 
-    def search(blocks, side, code, ident, query, small) -> Iterator[pa.RecordBatch]:
+    def search(hot, side, code, ident, query, small) -> Iterator[pa.RecordBatch]:
         unit = small.astype("f4")
         unit /= np.sqrt(np.einsum("ij,ij->i", unit, unit))[:, None]
-        if blocks > 1:
+        if hot:
             edge = int(np.searchsorted(side, 1))
             # One block against itself, or two against each other.
             todo = [(0, len(code), 0, len(code))] if edge == len(code) else [(0, edge, edge, len(code)), (edge, len(code), 0, edge)]
@@ -201,7 +216,7 @@ def _searcher(k: int, least: float, leaf: int, depth: int, part_blocks: np.ndarr
             if held:
                 t = pa.Table.from_batches(held)
                 held.clear()
-                yield from search(part_blocks[at[0]], *(t[x].to_numpy() for x in ("side", "code", "id", "q")), _matrix(t["vec"].combine_chunks(), "i2", dim))
+                yield from search(at[0] < 0, *(t[x].to_numpy() for x in ("side", "code", "id", "q")), _matrix(t["vec"].combine_chunks(), "i2", dim))
 
         for batch in batches:
             part, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -229,7 +244,31 @@ def _cosine() -> str:
     return f"{dot.format('va', 'vb')} / sqrt({dot.format('va', 'va')} * {dot.format('vb', 'vb')})"
 
 
-def nearest(vectors: DataFrame, k: int = 10, least: float = 0.88, queries: str = "true", recall: float = 0.99, dim: int = DIM, leaf: int | None = None) -> DataFrame:
+def _wave(asked: DataFrame, first: int, trees: int, rows: int, depth: int, leaf: int, k: int, least: float, dim: int) -> DataFrame:
+    """(id, nbr, approx): the candidates that some trees give for each query of asked(id, v, q)."""
+    spark = asked.sparkSession
+    # Nodes of over BLOCK leaves: at most rows / (BLOCK * leaf) a tree, 16 bytes each.
+    big = asked.select("id", "v").mapInArrow(_counter(first, trees, depth, dim), "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).filter(F.col("n") > BLOCK * leaf).orderBy("node").toArrow()
+    hot, n = big["node"].to_numpy(), big["n"].to_numpy()
+    blocks = -(-n // (BLOCK * leaf))
+    coarse = min(depth, depth_for(rows, PART * leaf // 2))
+    hashed = asked.mapInArrow(_hasher(first, trees, depth, coarse, hot, blocks, dim), "part long, block long, side int, code long, id long, q int, vec binary")
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = (trees << coarse) + int((blocks * (blocks + 1) // 2).sum())
+    sorted_ = hashed.repartition(max(width, min(4 * width, tasks)), "part", "block").sortWithinPartitions("part", "block", "side", "code")
+    return sorted_.mapInArrow(_searcher(k, least - SLACK, leaf, depth, dim), "id long, nbr long, approx float")
+
+
+def _best(near: DataFrame, k: int) -> DataFrame:
+    """Of each id the neighbours that rounding may have put behind the k-th or before it."""
+    near = near.repartition("id").groupBy("id", "nbr").agg(F.max("approx").alias("approx"))
+    mine = Window.partitionBy("id").orderBy(F.desc("approx"), "nbr")
+    near = near.withColumn("r", F.row_number().over(mine))
+    kth = F.min(F.when(F.col("r") <= k, F.col("approx"))).over(Window.partitionBy("id"))
+    return near.withColumn("kth", kth).filter(F.col("approx") >= F.col("kth") - 2 * SLACK).select("id", "nbr", "approx")
+
+
+def nearest(vectors: DataFrame, k: int = 10, least: float = 0.88, queries: str = "true", recall: float = 0.99, dim: int = DIM, leaf: int = LEAF) -> DataFrame:
     """(id, nbr, similarity, rank): of each query row the ``k`` most similar rows of cosine >= ``least``.
 
     ``vectors`` is (id long, v array<float>); null, short, zero or non-finite vectors are
@@ -238,32 +277,23 @@ def nearest(vectors: DataFrame, k: int = 10, least: float = 0.88, queries: str =
     id.  ``recall`` is the expected share of pairs at ``least`` that meet in a tree,
     however the vectors are spread.
     """
-    spark = vectors.sparkSession
     rows = usable(vectors.select("id", "v"), dim).withColumn("key", F.xxhash64("v")).withColumn("key2", F.hash(F.reverse("v")))
     members = rows.select("id", "key", "key2")
     # One entry per vector; v is the same in all rows of a key.
     points = persist_table(rows.groupBy("key", "key2").agg(F.min("id").alias("pid"), F.count("*").alias("n"), F.max(F.expr(f"cast(({queries}) as int)")).alias("q"), F.first("v").alias("v")), "p7-points")
     n = points.count()
-    leaf = leaf or leaf_for(n)
     depth = depth_for(n, leaf)
-    trees = trees_for(depth, least, recall)
-    # At most trees * 2**depth nodes: fewer than trees * rows / leaf.
-    nodes = points.select(F.col("pid").alias("id"), "v").mapInArrow(_counter(trees, depth, dim), "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(trees << depth, "i8")
-    counts[nodes["node"].to_numpy()] = nodes["n"].to_numpy()
-    part, blocks = _parts(counts, depth, leaf)
-    part_blocks = np.ones(int(part[-1]) + 1, "i8")
-    np.maximum.at(part_blocks, part, blocks)
-    hashed = points.select(F.col("pid").alias("id"), "v", F.col("q").cast("int").alias("q")).mapInArrow(_hasher(trees, depth, part, blocks, dim), "part long, block long, side int, code long, id long, q int, vec binary")
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tasks = int((part_blocks * (part_blocks + 1) // 2).sum())
-    sorted_ = hashed.repartition(max(width, min(4 * width, tasks)), "part", "block").sortWithinPartitions("part", "block", "side", "code")
-    near = sorted_.mapInArrow(_searcher(k, least - SLACK, leaf, depth, part_blocks, dim), "id long, nbr long, approx float")
-    near = near.groupBy("id", "nbr").agg(F.max("approx").alias("approx"))
-    # All that rounding may have put behind the k-th are scored exactly.
-    mine = Window.partitionBy("id").orderBy(F.desc("approx"), "nbr")
-    near = near.withColumn("r", F.row_number().over(mine))
-    near = near.withColumn("kth", F.min(F.when(F.col("r") <= k, F.col("approx"))).over(Window.partitionBy("id"))).filter(F.col("approx") >= F.col("kth") - 2 * SLACK)
+    asked = points.select(F.col("pid").alias("id"), "v", F.col("q").cast("int").alias("q"))
+    found = None
+    for first, trees in waves_for(trees_for(depth, least, recall)):
+        wave = persist_table(_best(_wave(asked, first, trees, n, depth, leaf, k, least, dim), k), "p7-wave")
+        if found is not None:
+            # Only what may be among the best of all waves so far is kept.
+            both = persist_table(_best(found.unionByName(wave), k), "p7-found")
+            drop_table(found, wave)
+            wave = both
+        found = wave
+    near = found
     ends = points.select("pid", "v", "key", "key2")
     near = near.join(ends.select(F.col("pid").alias("id"), F.col("v").alias("va"), "key", "key2"), "id").join(ends.select(F.col("pid").alias("nbr"), F.col("v").alias("vb"), F.col("key").alias("nkey"), F.col("key2").alias("nkey2")), "nbr")
     near = near.select("key", "key2", "nkey", "nkey2", F.expr(_cosine()).alias("similarity")).filter(F.col("similarity") >= least)
@@ -278,8 +308,8 @@ def nearest(vectors: DataFrame, k: int = 10, least: float = 0.88, queries: str =
     lists = lists.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
     lists = lists.groupBy("key", "key2").agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("d"), "nbr"))).alias("list"))
     lists = lists.join(points.select("key", "key2", "n"), ["key", "key2"]).withColumn("both", F.struct("key", "key2")).drop("key", "key2")
-    asked = members.filter(queries).select("id", F.struct("key", "key2").alias("both"))
-    out = hot_aware_join(asked, lists, "both", "n", n)
+    wanted = members.filter(queries).select("id", F.struct("key", "key2").alias("both"))
+    out = hot_aware_join(wanted, lists, "both", "n", n)
     out = out.select("id", F.posexplode(F.slice(F.expr("filter(list, x -> x.nbr <> id)"), 1, k)).alias("rank", "x"))
     return out.select("id", F.col("x.nbr").alias("nbr"), (-F.col("x.d")).alias("similarity"), (F.col("rank") + 1).alias("rank"))
 
