@@ -22,7 +22,7 @@ def test_tiles_match_and_do_not_overlap(a, b):
         assert not ra & seen_a and not rb & seen_b
         seen_a |= ra
         seen_b |= rb
-    assert len(seen_a) <= L.most_covered(a, b)
+    assert len(seen_a) <= sum(L._common_runs(a, b, L.TILE))
 
 
 def test_reordered_passage_is_covered_but_is_no_run():
@@ -38,10 +38,43 @@ def test_changed_words_do_not_break_a_run():
     assert L.longest_run(L.tiles(p, d))[0] >= 36
 
 
-def test_shared_instruction_is_left_out(spark):
-    items = [(i, f"Read this well. Passage number {i} of the set.") for i in range(4)] + [(9, "Alone it stands. And more.")]
-    got = {r.item_id: r.tokens for r in L.item_words(spark.createDataFrame(items, "item_id long, passage string")).collect()}
-    assert got[0] == ["passage", "number", "0", "of", "the", "set"] and got[9][0] == "alone"
+def test_shared_instruction_is_left_out_but_copies_stay_whole(spark):
+    items = [(i, f"Read this well. Passage number {i} of the set.") for i in range(4)] + [(9, "Alone it stands. And more.")] + [(20 + i, "Thrice it comes. With the same rest.") for i in range(3)] + [(30, None), (31, "")]
+    got = {r.item_id: r.passage for r in L.without_instruction(spark.createDataFrame(items, "item_id long, passage string")).collect()}
+    assert L.words(got[0]) == ["passage", "number", "0", "of", "the", "set"] and L.words(got[9])[0] == "alone"
+    assert L.words(got[20])[0] == "thrice" and 30 not in got
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 5), min_size=3, max_size=12), min_size=1, max_size=5), st.lists(st.integers(0, 5), min_size=3, max_size=30))
+def test_bound_on_what_tiles_hold(passages, doc):
+    ix = L.Index([(n, [str(w) for w in p]) for n, p in enumerate(passages)])
+    import numpy as np
+
+    text = np.array([ix.number.get(str(w), 0) for w in doc])
+    runs = ix.runs(text)
+    held = ix.held(runs[np.isin(runs, ix.run) & (runs != 0)])
+    assert len(held) == len(passages)
+    for n, p in enumerate(passages):
+        assert held[n] >= sum(k for _, _, k in L.tiles([str(w) for w in p], [str(w) for w in doc]))
+
+
+def test_leaks_block_by_block(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    make = lambda n: [f"w{rng.randint(0, 3000)}" for _ in range(n)]
+    items = [(i, make(40)) for i in range(12)]
+    docs = [(i, " ".join(make(60) + (p[:25] if i % 2 else p[20:]) + make(30)).upper()) for i, p in items]
+    # A change at every fourth word, and another order.
+    docs += [(100, " ".join(w if k % 4 else "zz" for k, w in enumerate(items[0][1]))), (101, " ".join(items[1][1][20:] + ["x"] * 9 + items[1][1][:20])), (102, None), (103, ""), (104, "short")]
+    want = {(i, i) for i in range(12)} | {(100, 0)}
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(p)) for i, p in items], "item_id long, passage string")
+    for block in (8_000_000, 500):
+        monkeypatch.setattr(L, "BLOCK", block)
+        rows = L.leaks(*frames).collect()
+        assert {(r.doc_id, r.item_id) for r in rows if r.run >= 0.5 and r.held >= 0.35} == want | {(101, 1)}
+        assert {(r.doc_id, r.item_id) for r in rows if r.coverage >= 0.9} == {(101, 1)}
 
 
 @settings(max_examples=200, deadline=None)
