@@ -104,21 +104,36 @@ def p3_found(spark, sf_dir: str) -> DataFrame:
 def p3_splits(spark, sf_dir: str) -> DataFrame:
     """The split of every training document; related documents share it."""
     docs, _ = groups(spark, sf_dir)
-    targets = [(r["split_name"], r["share"]) for r in load(spark, sf_dir, "split_targets").orderBy("split_name").limit(1000).collect()]
+    targets = [(r["split_name"], r["share"]) for r in load(spark, sf_dir, "split_targets").orderBy("split_name").collect()]  # a table that people write, a row per split
     sizes = docs.groupBy("group_key").agg(F.count("*").alias("size"))
     dealt = persist_table(split_groups(sizes, targets), "p3-splits")
     return docs.select("document_id", "group_key").join(dealt, "group_key").select("document_id", "group_key", "split_name")
 
 
+def p3_kept(spark, sf_dir: str) -> DataFrame:
+    """What the splits promise of each group of relatives: its documents, and that one split holds them all."""
+    s = p3_splits(spark, sf_dir)
+    return s.groupBy("group_key").agg(F.count("*").alias("documents"), (F.count_distinct("split_name") == 1).alias("whole"))
+
+
+def p3_balance(spark, sf_dir: str) -> DataFrame:
+    """Each split and whether its part of the documents is within 5 % of its target, and one group more."""
+    s = p3_splits(spark, sf_dir)
+    total = s.count()
+    widest = s.groupBy("group_key").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    have = s.groupBy("split_name").agg(F.count("*").alias("n"))
+    t = load(spark, sf_dir, "split_targets").join(have, "split_name", "left").fillna(0, ["n"])
+    return t.select("split_name", (F.abs(F.col("n") - F.col("share") * total) <= 0.05 * total + widest).alias("near"))
+
+
 def p3_forest(spark, sf_dir: str) -> DataFrame:
     """The persisted spanning forest: the edges between documents that hold the groups together."""
     _, forest = groups(spark, sf_dir)
     return forest.select(F.col("u").alias("document_a"), F.col("v").alias("document_b"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p3_forest": p3_forest}
-SQL = {
-    "p3_found": r"""
+QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p3_kept": p3_kept, "p3_balance": p3_balance, "p3_forest": p3_forest}
+_REACH = r"""
 with recursive ids as (select lower(trim(document_id)) as k from ocr_labels union select lower(trim(document_id)) from layout_annotations),
 docs as (select document_id, paper_id from review_documents where lower(trim(document_id)) in (select k from ids)),
 names as (select paper_id, trim(regexp_replace(regexp_replace(lower(a), '\s+', ' ', 'g'), '[\s0-9,*†]+$', '')) as a
@@ -127,5 +142,9 @@ hubs as (select document_id, 'p:' || paper_id as hub from docs where paper_id is
   union select document_id, 'a:' || a from docs join names using (paper_id) where a not in ('', 'unknown', 'anonymous', 'n/a', 'et al.', 'et al')),
 edges as (select distinct a.document_id as x, b.document_id as y from hubs a join hubs b using (hub)),
 reach as (select x, y from edges union select r.x, e.y from reach r join edges e on r.y = e.x)
-select x as document_id, min(y) as group_key from reach group by x having count(distinct y) > 1""",
+"""
+SQL = {
+    "p3_found": _REACH + "select x as document_id, min(y) as group_key from reach group by x having count(distinct y) > 1",
+    "p3_kept": _REACH + "select coalesce(g, d) as group_key, count(*) as documents, true as whole from (select distinct document_id as d from docs) left join (select x, min(y) as g from reach group by 1) on x = d group by 1",
+    "p3_balance": "select split_name, true as near from split_targets",
 }

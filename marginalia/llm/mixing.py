@@ -135,7 +135,7 @@ def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> tu
     ``docs`` is (id, source, text), ``targets`` (source, target_share, max_repeats), a
     table of sources.  copies(id, source, tokens, copies) covers every document of a listed
     source.  report has a row per listed source: wanted and actual tokens and shares, and
-    whether even max_repeats copies of everything fall short.  Documents of null or other
+    whether the mix holds less than wanted although it has max_repeats copies of everything.  Documents of null or other
     sources count for the size of the mix only; null shares and repeats count as 0.
     """
     keyed = docs.select("id", "text", source_key(F.col("source")).alias("source"))
@@ -146,7 +146,6 @@ def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> tu
     have = tokens.groupBy("source").agg(F.sum("tokens").alias("available"), F.count("*").alias("documents"))
     plan = want.join(have, "source", "left").fillna(0, ["available", "documents"])
     plan = plan.withColumn("wanted", F.col("target_share") * total)
-    plan = plan.withColumn("short", F.col("available") * F.col("max_repeats") < F.col("wanted"))
     rate = F.when(F.col("available") > 0, F.least(F.col("max_repeats").cast("double"), F.col("wanted") / F.col("available"))).otherwise(0.0)
     plan = persist_table(plan.withColumn("rate", rate), "p9-plan")
     # One row per source; its number is that of the target table, which people write.
@@ -158,6 +157,7 @@ def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> tu
     copies = persist_table(copies, "p9-copies")
     got = copies.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed"))
     report = plan.join(got, "source", "left").fillna(0, ["mixed"])
+    report = report.withColumn("short", (F.col("mixed") < F.col("wanted")) & (F.col("mixed") >= F.col("available") * F.col("max_repeats")))
     mixed = max(1, report.agg(F.sum("mixed")).first()[0] or 1)
     return copies, report.withColumn("actual_share", F.col("mixed") / F.lit(mixed))
 
@@ -178,17 +178,31 @@ def p9_mix(spark, sf_dir: str) -> DataFrame:
     return copies.select(F.col("id").alias("doc_id"), "source", "tokens", "copies")
 
 
+def p9_kept(spark, sf_dir: str) -> DataFrame:
+    """What the rounding promises of each source: copies within max_repeats and within one of each other, tokens within one document of the plan."""
+    copies, report = mix(*_inputs(spark, sf_dir))
+    c = copies.groupBy("source").agg(F.max("copies").alias("most"), F.min(F.when(F.col("tokens") > 0, F.col("copies"))).alias("least"), F.max(F.when(F.col("tokens") > 0, F.col("copies"))).alias("top"), F.max("tokens").alias("longest"))
+    r = report.join(c, "source", "left")
+    return r.select(
+        "source", "documents", (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"), (F.coalesce(F.col("top") - F.col("least"), F.lit(0)) <= 1).alias("even"),
+        (F.abs(F.col("mixed") - F.least(F.col("wanted"), (F.col("available") * F.col("max_repeats")).cast("double"))) <= F.coalesce("longest", F.lit(0)) + 1e-6).alias("within_one"),
+    )
+
+
 def p9_shares(spark, sf_dir: str) -> DataFrame:
     """Target and actual share of each source in the mix."""
     _, report = mix(*_inputs(spark, sf_dir))
     return report.select("source", "target_share", F.round("actual_share", 6).alias("actual_share"), "documents", "available", "mixed", "short")
 
 
-QUERIES = {"p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares}
+QUERIES = {"p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_kept": p9_kept}
 SQL = {
     "p9_found": """
 with d as (select nullif(lower(trim(source)), '') as source, coalesce(length(text), 0) as size from documents),
 have as (select source, sum(size) as size from d group by 1), total as (select sum(size) as n from d)
 select lower(trim(t.source)) as source from source_targets t left join have h on h.source = lower(trim(t.source)), total
 where coalesce(h.size, 0) * max_repeats < target_share * n""",
+    "p9_kept": """
+with d as (select nullif(lower(trim(source)), '') as source, count(*) as n from documents group by 1)
+select lower(trim(t.source)) as source, coalesce(n, 0)::bigint as documents, true as within_repeats, true as even, true as within_one from source_targets t left join d on d.source = lower(trim(t.source))""",
 }

@@ -196,4 +196,12 @@ reach as (select kind, a, b from pair union select r.kind, r.a, p.b from reach r
 """
 SQL = {
     "p6_found": _GROUPS + "select distinct kind, a as id_a, b as id_b from reach where a < b",
+    "p6_groups": _GROUPS + """,
+k as (select kind, id, string_agg(x, ' ' order by x) as k from w group by all),
+c as (select kind, k, min(id) as cid, count(*) as copies from k group by all),
+l as (select p.kind, ca.cid, count(distinct cb.cid) as links from pair p join k ka on ka.kind = p.kind and ka.id = p.a join c ca on ca.kind = ka.kind and ca.k = ka.k
+  join k kb on kb.kind = p.kind and kb.id = p.b join c cb on cb.kind = kb.kind and cb.k = kb.k where ca.cid <> cb.cid group by all),
+g as (select kind, a as id, min(b) as g from reach group by all)
+select k.kind, k.id as rec_id, least(k.id, coalesce(g.g, k.id)) as group_id, c.copies, coalesce(l.links, 0) as links
+from k join c using (kind, k) left join l on l.kind = k.kind and l.cid = c.cid left join g on g.kind = k.kind and g.id = k.id""",
 }
