@@ -150,6 +150,46 @@ def test_sentences_cover_the_text(text):
     assert not text.strip() or ends[-1] == len(text.rstrip())
 
 
+def joined(parts, sep):
+    ends, at = [], 0
+    for p in parts:
+        at += len(p)
+        ends.append(at)
+        at += len(sep)
+    return sep.join(parts), ends
+
+
+@pytest.mark.parametrize("parts, sep", [
+    (["ខ្ញុំទៅផ្សារ។", "គាត់មកវិញ។"], " "), (["ကျွန်တော်သွားမယ်။", "သူလာမယ်။"], " "), (["እኔ ወደ ቤት ሄድኩ።", "እሱ መጣ።"], " "), (["Ես գնացի տուն։", "Նա եկավ։"], " "),
+    (["वह घर गया।", "वह लौटा॥"], " "), (["我们走了。", "他们来了！"], ""), (["བོད་ཡིག་ཡིན།", "དེ་རེད།"], " ")])
+def test_marks_of_many_scripts(parts, sep):
+    text, ends = joined(parts, sep)
+    assert model([text]).ends(text) == ends
+
+
+def unpunctuated(spark, starts, middles, finals, sep, stop, n=600):
+    """F1 of boundaries in texts without marks, learned from texts with them."""
+    import random
+
+    rng = random.Random(5)
+    one = lambda: [rng.choice(starts), *rng.choices(middles, k=rng.randint(4, 9)), rng.choice(finals)]
+    marked = [(i, (" " if sep else "").join(sep.join(one()) + stop for _ in range(6))) for i in range(n)]
+    plain, want = [], set()
+    for i in range(20):
+        text, ends = joined([sep.join(one()) for _ in range(40)], sep)
+        plain.append((n + i, text))
+        want |= {(n + i, e) for e in ends}
+    out = S.sentences(spark.createDataFrame(marked + plain, "doc_id long, text string")).filter(f"doc_id >= {n}")
+    got = {(r.doc_id, r.end_pos) for r in out.collect()}
+    return 2 * len(got & want) / (len(got) + len(want))
+
+
+def test_unpunctuated_texts(spark):
+    assert unpunctuated(spark, ["the", "we", "our"], ["model", "reads", "long", "pages", "quickly", "of", "text"], ["again", "today", "there"], " ", ".") > 0.95
+    assert unpunctuated(spark, list("我他这"), list("们天书看读大小山水"), list("了吧呢"), "", "。") > 0.95
+    assert unpunctuated(spark, ["ខ្ញុំ", "គាត់"], ["ទៅ", "ផ្សារ", "មាន", "ធំ"], ["ហើយ", "ទេ"], "", "។") > 0.9
+
+
 @pytest.mark.parametrize("line, yes", [("- 186 -", True), ("261 |", True), ("Page 4 of 46", True), ("p. 7", True), ("~21~", True), ("xiv", True), ("[ 9 ]", True), ("3/9", True), ("REMARK", False), ("0.5 | 0.7", False), ("5.", False), ("civil", False), ("y = 0.9 x   (27)", False)])
 def test_page_numbers(line, yes):
     assert N.is_page_number(line) is yes
