@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from marginalia.skew import HOT_SHARE, hot_keys
 from marginalia.storage import load, persist_table
 
+from .expand import chunked, pairs_across, pairs_within
 from .terms import normal_set
 
 LEAF = 64
@@ -40,6 +41,17 @@ def trees_for(m: int, recall: float) -> int:
     return 1 if q >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - q)))
 
 
+def _trees_column(c, most: int, recall: float):
+    """:func:`trees_for` of a number of tokens; of over ten in steps of a tenth, and at most that of ``most``."""
+    steps = [m for m in range(1, 11) if m < most]
+    while steps and steps[-1] >= 10 and steps[-1] * 11 // 10 < most:
+        steps.append(steps[-1] * 11 // 10)
+    case = F.lit(trees_for(most, recall))
+    for m in reversed(steps):
+        case = F.when(c <= m, trees_for(m, recall)).otherwise(case)
+    return case
+
+
 def set_classes(records: DataFrame, min_size: int) -> tuple[DataFrame, DataFrame]:
     """(members, classes) of ``records(rid long, toks array<string>)``, toks sorted and without repeats.
 
@@ -77,12 +89,14 @@ def _blocks(node_rows: DataFrame, leaf: int) -> DataFrame:
     return rows.withColumn("node", F.xxhash64("node", F.least("chunk", "other"), F.greatest("chunk", "other"))).drop("chunk", "other")
 
 
-def similar_set_pairs(classes: DataFrame, threshold: float = 0.6, recall: float = RECALL, leaf: int = LEAF) -> DataFrame:
+def similar_set_pairs(classes: DataFrame, threshold: float = 0.6, recall: float = RECALL, leaf: int = LEAF, rare: bool = True) -> DataFrame:
     """Pairs (cid_a < cid_b, similarity) of different sets whose Jaccard similarity is at least ``threshold``.
 
-    ``classes`` is as :func:`set_classes` gives it, persisted.  Pairs that share a token
-    held by at most ``leaf`` sets are always found; the others with a probability of at
-    least ``recall``.  An empty table gives no pairs; ties at the threshold count.
+    ``classes`` is as :func:`set_classes` gives it, persisted.  With ``rare`` every token
+    held by at most ``leaf`` sets is a leaf of the root, so pairs that share one are always
+    found; the others, or without ``rare`` all, with a probability of at least ``recall``.
+    A set is in as many trees as its own size asks for.  An empty table gives no pairs;
+    ties at the threshold count.
     """
     slim = ["cid", "sz", "sig", "slack"]
     postings = classes.select(*slim, F.explode(F.transform("toks", lambda x: F.xxhash64(x))).alias("tok"))
@@ -92,17 +106,18 @@ def similar_set_pairs(classes: DataFrame, threshold: float = 0.6, recall: float
     hot = hot_keys(counts, "n", max(total, leaf / HOT_SHARE)).select("tok")
     cold = counts.join(F.broadcast(hot), "tok", "left_anti")
     part = postings.join(F.broadcast(hot), "tok", "left_anti").join(cold, "tok")
-    leaves = part.filter(F.col("n") <= leaf).select(F.col("tok").alias("node"), *slim)
-    common = part.filter(F.col("n") > leaf).select(*slim, "tok").unionByName(postings.join(F.broadcast(hot), "tok").select(*slim, "tok"))
+    leaves = part.filter(F.col("n") <= (leaf if rare else 0)).select(F.col("tok").alias("node"), *slim)
+    common = part.filter(F.col("n") > (leaf if rare else 1)).select(*slim, "tok").unionByName(postings.join(F.broadcast(hot), "tok").select(*slim, "tok"))
     # What two sets with only common tokens in common need: as many common tokens as the larger one requires.
     need = F.ceil(F.col("sz") * threshold - 1e-9).cast("int")
     state = common.groupBy("cid").agg(F.first("sz").alias("sz"), F.first("sig").alias("sig"), F.first("slack").alias("slack"), F.collect_list("tok").alias("left"))
     state = persist_table(state.withColumn("need", need).filter(F.size("left") >= F.col("need")), "p1-root")
-    most = state.agg(F.max("need")).first()[0]
+    largest = state.agg(F.max("sz")).first()[0]
     found = [leaves]
-    if most is not None:
-        trees = trees_for(most, recall)
-        state = state.withColumn("node", F.explode(F.sequence(F.lit(1), F.lit(trees)))).withColumn("node", F.xxhash64("node"))
+    if largest is not None:
+        # The larger set of a pair needs no more common tokens than the smaller one has, so both are in all the trees that the pair asks for.
+        trees = _trees_column(F.col("sz"), math.ceil(largest * threshold - 1e-9), recall)
+        state = state.withColumn("node", F.explode(F.sequence(F.lit(1), trees))).withColumn("node", F.xxhash64("node"))
         for level in range(MAX_LEVEL):
             u = "(shiftrightunsigned(xxhash64(node, x, 29), 11) / 9007199254740992D)"
             chosen = f"filter(left, x -> {u} * greatest(1, need - {level}) < 1)"
@@ -138,11 +153,10 @@ def keyword_records(spark, sf_dir: str) -> DataFrame:
 
 
 def record_pairs(members: DataFrame, class_pairs: DataFrame) -> DataFrame:
-    """All pairs of records (rid_a, rid_b), unordered, of one class or of two paired classes."""
-    left, right = members.select("key", F.col("rid").alias("r1")), members.select(F.col("key").alias("key_b"), F.col("rid").alias("r2"))
-    across = class_pairs.select(F.col("key_a").alias("key"), "key_b").join(left, "key").join(right, "key_b").select("r1", "r2")
-    within = left.join(right.withColumnRenamed("key_b", "key"), "key").filter("r1 < r2").select("r1", "r2")
-    return across.unionByName(within)
+    """All pairs of records (r1, r2), unordered, of one class or of two paired classes."""
+    rows, sizes = chunked(members.select("key", "rid"))
+    rows, sizes = persist_table(rows, "p1-members"), persist_table(sizes, "p1-sizes")
+    return pairs_across(rows, sizes, class_pairs).unionByName(pairs_within(rows))
 
 
 def p1_found(spark, sf_dir: str) -> DataFrame:
