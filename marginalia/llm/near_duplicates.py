@@ -18,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.skew import hot_keys
 from marginalia.storage import load, persist_table
 
+from .expand import chunked, pairs_within
 from .forest import spanning_forest
 
 LIST = 256
@@ -99,12 +101,19 @@ def _chunks(rows: DataFrame) -> DataFrame:
 
 
 def _split(rows: DataFrame) -> DataFrame:
-    """The lists with those of more than LIST rows in chunks; every two rows of a list still meet."""
+    """The lists with those of more than LIST rows in chunks; every two rows of a list still meet.
+
+    The longest lists, of more than a thousandth of the rows each, are told apart map-side,
+    so that no task gets such a list whole; the others by a shuffle.
+    """
     long = persist_table(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > LIST), "p6-long")
     if long.isEmpty():
         return rows
-    # Lists are long only for keys of at least 1 / LIST of the rows, but these may be any number: no broadcast.
-    return rows.join(long, "key", "left_anti").unionByName(_chunks(rows.join(long, "key")))
+    hot = hot_keys(long, "n", long.agg(F.sum("n")).first()[0])
+    rest = rows.join(F.broadcast(hot.select("key")), "key", "left_anti")
+    cold = long.join(F.broadcast(hot.select("key")), "key", "left_anti")
+    marked = rest.join(cold, "key", "left")
+    return marked.filter("n is null").drop("n").unionByName(_chunks(marked.filter("n is not null"))).unionByName(_chunks(rows.join(F.broadcast(hot), "key")))
 
 
 def similar_records(records: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
@@ -162,17 +171,16 @@ def corpus(spark, sf_dir: str) -> DataFrame:
 
 
 def _public(kind: str = "kind"):
-    return F.when(F.col(kind) == 0, "paper").otherwise("paragraph")
+    return F.when(F.expr(kind) == 0, "paper").otherwise("paragraph")
 
 
 def p6_found(spark, sf_dir: str) -> DataFrame:
     """Any two papers, or two paragraphs, of one group of nearly equal records."""
     g = near_groups(corpus(spark, sf_dir))
-    sizes = g.groupBy("group_key").agg(F.count("*").alias("n")).filter("n > 1")
-    g = persist_table(g.join(sizes, "group_key").select("group_key", "kind", "rid"), "p6-groups")
-    a, b = g.alias("a"), g.alias("b")
-    pairs = a.join(b, F.expr("a.group_key = b.group_key and a.rid < b.rid"))
-    return pairs.select(_public("a.kind").alias("kind"), F.floor(F.col("a.rid") / 2).cast("long").alias("id_a"), F.floor(F.col("b.rid") / 2).cast("long").alias("id_b"))
+    rows, _ = chunked(g.select(F.col("group_key").alias("key"), "rid"))
+    pairs = pairs_within(persist_table(rows, "p6-members"))
+    # Records of one kind have ids of one parity.
+    return pairs.select(_public("pmod(r1, 2)").alias("kind"), F.floor(F.col("r1") / 2).cast("long").alias("id_a"), F.floor(F.col("r2") / 2).cast("long").alias("id_b"))
 
 
 def p6_groups(spark, sf_dir: str) -> DataFrame:
