@@ -30,6 +30,28 @@ def save_papers(papers: DataFrame, new: DataFrame) -> DataFrame:
     return papers.unionByName(with_ids(n, ["source_file_path", "title"], top, "paper_id"), allowMissingColumns=True)
 
 
+def save_children(old: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Paragraphs or tables of papers appended under new ids of ``key``, missing columns null; null keyword lists become empty."""
+    if "keywords" in new.columns:
+        new = new.withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
+    top = old.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
+    return old.unionByName(with_ids(new, order, top, key), allowMissingColumns=True)
+
+
+def update_papers(papers: DataFrame, changes: DataFrame) -> DataFrame:
+    """Papers with the columns of ``changes`` (paper_id and others, one row a paper) put in; papers without a change keep theirs.
+
+    A column that papers lack is added.
+    """
+    names = [c for c in changes.columns if c != "paper_id"]
+    new = changes.select("paper_id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in names])
+    out = papers.join(new, "paper_id", "left")
+    for c in names:
+        old = F.col(c) if c in papers.columns else F.lit(None)
+        out = out.withColumn(c, F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(old))
+    return out.drop("_hit", *[f"_{c}" for c in names])
+
+
 def delete_papers(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
     """All tables without the papers in ``gone(paper_id)`` and what hangs on them; keyword frequencies stay."""
     return {k: t.join(gone.select("paper_id").distinct(), "paper_id", "left_anti") for k, t in tables.items()}
@@ -67,6 +89,28 @@ def q_delete_paper(spark, d):
     return out
 
 
+def q_save_paragraphs(spark, d):
+    """Summaries entered as paragraphs: counts and ids after the insert."""
+    p = load(spark, d, "paragraphs").select("paragraph_id", "paper_id", "paragraph_order", "section_name", "original_text", "cleaned_text", "summary", "keywords", "is_topic_relevant")
+    new = load(spark, d, "paper_summaries").select("paper_id", F.lit(1).alias("paragraph_order"), F.lit("new").alias("section_name"), F.coalesce("relevance_summary", F.lit("")).alias("original_text"), "keywords", F.lit(True).alias("is_topic_relevant"))
+    out = save_children(p, new, "paragraph_id", ["paper_id", "original_text"])
+    return out.groupBy("section_name").agg(F.count("*").alias("n"), F.min("paragraph_id").alias("first_id"), F.max("paragraph_id").alias("last_id"), F.count_distinct("paragraph_id").alias("ids"), F.count("keywords").alias("lists"))
+
+
+def q_save_tables(spark, d):
+    """Every table entered again without a summary."""
+    t = load(spark, d, "paper_tables")
+    out = save_children(t, t.select("paper_id", F.lit("again").alias("table_title"), "table_text"), "table_id", ["paper_id", "table_text"])
+    return out.groupBy("table_title").agg(F.count("*").alias("n"), F.max("table_id").alias("last_id"), F.count_distinct("table_id").alias("ids"), F.count("table_summary").alias("summaries"))
+
+
+def q_update_embedding(spark, d):
+    """Papers that get the vector of their first paragraph with one as their own: its length and first value."""
+    first = load(spark, d, "paragraphs").filter("size(embedding) > 0").groupBy("paper_id").agg(F.min_by("embedding", F.struct("paragraph_order", "paragraph_id")).alias("embedding"))
+    out = update_papers(load(spark, d, "papers").select("paper_id", "title"), first)
+    return out.select("paper_id", "title", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dim"), F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("head"))
+
+
 def q_link(spark, d):
     """Every link scored again by half, unless the score is null."""
     links = load(spark, d, "paper_keywords")
@@ -117,10 +161,43 @@ def q_review_save(spark, d):
     return latest(r.select("document_id", "phase", "status", "paper_id", "updated_at"), ["document_id"], [F.desc("updated_at")]).select("document_id", "phase", "status", "paper_id")
 
 
+STATES = ("queued", "running", "done", "failed")
+
+
+def append_jobs(log: DataFrame, changes: DataFrame) -> DataFrame:
+    """A log of jobs with changes(paper_id, stage, status, error, at) appended: started_at where a stage starts to run, finished_at where it is done or failed.
+
+    An unknown state is an error.
+    """
+    known = F.when(F.col("status").isin(*STATES), F.col("status")).otherwise(F.raise_error(F.concat(F.lit("unknown state "), F.coalesce("status", F.lit("null")))))
+    new = changes.select("paper_id", "stage", known.alias("status"), "error", F.when(F.col("status") == "running", F.col("at")).alias("started_at"), F.when(F.col("status").isin("done", "failed"), F.col("at")).alias("finished_at"))
+    return log.unionByName(new)
+
+
+def job_states(log: DataFrame) -> DataFrame:
+    """(paper_id, stage, state) as callers see it: the last entry's PENDING, STARTED, SUCCESS or FAILURE."""
+    at = F.coalesce("finished_at", "started_at")
+    last = log.groupBy("paper_id", "stage").agg(F.max_by("status", F.struct(at, F.col("status"))).alias("status"))
+    shown = F.when(F.col("status") == "running", "STARTED").when(F.col("status") == "done", "SUCCESS").when(F.col("status") == "failed", "FAILURE").otherwise("PENDING")
+    return last.select("paper_id", "stage", shown.alias("state"))
+
+
+def _jobs(spark, d):
+    """Events as changes of jobs."""
+    e = load(spark, d, "events").select(F.col("user_id").alias("paper_id"), F.col("event_type").alias("stage"), F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "running").when(F.col("event_type") == "signup", "queued").otherwise("done").alias("status"), F.when(F.col("event_type") == "error", "error").alias("error"), F.col("ts").alias("at"))
+    empty = spark.createDataFrame([], "paper_id long, stage string, status string, error string, started_at timestamp, finished_at timestamp")
+    return append_jobs(empty, e.withColumn("at", F.col("at").cast("timestamp")))
+
+
 def q_job_log(spark, d):
-    """Events as a log of jobs: started and finished times by state."""
-    e = load(spark, d, "events").select("event_id", "user_id", F.col("event_type").alias("stage"), F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "running").otherwise("done").alias("status"), "ts")
-    return e.groupBy("user_id", "stage").agg(F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status") == "done").alias("done"), F.max(F.when(F.col("status") != "running", F.col("event_id"))).alias("last_end"))
+    """The log of all changes."""
+    j = _jobs(spark, d)
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return j.select("paper_id", "stage", "status", "error", text("started_at").alias("started_at"), text("finished_at").alias("finished_at"))
+
+
+def q_job_states(spark, d):
+    return job_states(_jobs(spark, d))
 
 
 def q_new_vs_existing(spark, d):
@@ -137,12 +214,15 @@ def q_first_seen(spark, d):
 
 
 QUERIES = {
-    "save_paper": q_save_paper, "delete_paper": q_delete_paper, "link_paper_keyword": q_link, "save_relations": q_save_relations, "update_paper": q_update_paper, "save_result": q_save_result,
-    "kw_cache_put": q_kw_cache, "cache_refresh": q_cache_refresh, "review_save": q_review_save, "job_log": q_job_log, "new_vs_existing": q_new_vs_existing, "first_seen_dedup": q_first_seen,
+    "save_paragraphs": q_save_paragraphs, "save_table": q_save_tables, "update_paper_embedding": q_update_embedding, "save_paper": q_save_paper, "delete_paper": q_delete_paper, "link_paper_keyword": q_link, "save_relations": q_save_relations, "update_paper": q_update_paper, "save_result": q_save_result,
+    "kw_cache_put": q_kw_cache, "cache_refresh": q_cache_refresh, "review_save": q_review_save, "job_log": q_job_log, "job_states": q_job_states, "new_vs_existing": q_new_vs_existing, "first_seen_dedup": q_first_seen,
 }
 
 _N = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"
 SQL = {
+    "save_paragraphs": "with t as (select section_name, paragraph_id, keywords from paragraphs union all select 'new', (select max(paragraph_id) from paragraphs) + row_number() over (), coalesce(keywords, []) from paper_summaries) select section_name, count(*) as n, min(paragraph_id) as first_id, max(paragraph_id) as last_id, count(distinct paragraph_id) as ids, count(keywords) as lists from t group by 1",
+    "save_table": "with t as (select table_title, table_id, table_summary from paper_tables union all select 'again', (select max(table_id) from paper_tables) + row_number() over (), null from paper_tables) select table_title, count(*) as n, max(table_id) as last_id, count(distinct table_id) as ids, count(table_summary) as summaries from t group by 1",
+    "update_paper_embedding": "with f as (select paper_id, arg_min(embedding, (paragraph_order, paragraph_id)) as e from paragraphs where len(embedding) > 0 group by 1) select paper_id, title, len(e)::int as dim, round(e[1]::double, 5) as head from papers left join f using (paper_id)",
     "save_paper": "with t as (select title, paper_id from papers union all select 'Untitled', (select max(paper_id) from papers) + row_number() over () from paper_summaries) select title, count(*) as n, min(paper_id) as first_id, max(paper_id) as last_id, count(distinct paper_id) as ids from t group by 1",
     "delete_paper": " union all ".join(f"select '{t}' as table_name, count(*) as left_rows, count(distinct paper_id) as papers from {t} where paper_id is null or paper_id not in (select paper_id from papers where published_year is null)" for t in CHILDREN),
     "link_paper_keyword": "select paper_id, keyword_id, case when count(score) = 0 then null else round(min(score) / 2, 6) end as score from paper_keywords group by 1, 2",
@@ -152,7 +232,8 @@ SQL = {
     "kw_cache_put": f"with s as (select distinct summary_id, result_id, coalesce(score, 0) as score, term from (select summary_id, result_id, score, {_N.format('x')} as term from (select summary_id, result_id, score, unnest(keywords) as x from paper_summaries) where x is not null) where term <> ''), k as (select {_N.format('keyword')} as term, min(keyword_id) as keyword_id from keywords group by 1) select keyword_id, arg_min(result_id, (-score, result_id)) as result_id, count(*) as results from s join k using (term) where term <> '' group by 1",
     "cache_refresh": "with l as (select distinct paper_id, keyword_id from paper_keywords), n as (select keyword_id, max(created_at) as newest from l join papers using (paper_id) group by 1), m as (select keyword_id, min(generated_at) as made from l join paper_summaries using (paper_id) group by 1) select keyword_id from n join m using (keyword_id) where newest > made",
     "review_save": "select document_id, phase, status, paper_id from (select *, row_number() over (partition by document_id order by updated_at desc) as r from review_documents) where r = 1",
-    "job_log": "select user_id, event_type as stage, count_if(event_type = 'error') as failed, count_if(event_type not in ('error', 'view')) as done, max(case when event_type <> 'view' then event_id end) as last_end from events group by 1, 2",
+    "job_log": "select user_id as paper_id, event_type as stage, case event_type when 'error' then 'failed' when 'view' then 'running' when 'signup' then 'queued' else 'done' end as status, case when event_type = 'error' then 'error' end as error, case when event_type = 'view' then strftime(ts, '%Y-%m-%d %H:%M:%S') end as started_at, case when event_type not in ('view', 'signup') then strftime(ts, '%Y-%m-%d %H:%M:%S') end as finished_at from events",
+    "job_states": "select distinct user_id as paper_id, event_type as stage, case event_type when 'error' then 'FAILURE' when 'view' then 'STARTED' when 'signup' then 'PENDING' else 'SUCCESS' end as state from events",
     "new_vs_existing": f"select paper_id, case when row_number() over (partition by {_N.format('title')} order by paper_id) = 1 then 'new' else 'known' end as state from papers where title is not null",
     "first_seen_dedup": f"select {_N.format('title')} as term, min(paper_id) as paper_id from papers where title is not null group by 1",
 }

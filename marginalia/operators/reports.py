@@ -12,14 +12,19 @@ from marginalia.config import DEFAULTS
 from marginalia.functions import text as T
 from marginalia.storage import load
 
-from .layout import grid_rows
+from .layout import _GRID, grid_rows
 
 
-def headers(cells):
-    """Column heads without blanks and repeats: blanks are column N, a repeat gets _k."""
-    named = F.transform(cells, lambda x, i: F.when(T.strip(x) == "", F.concat(F.lit("column "), (i + 1).cast("string"))).otherwise(T.strip(x)))
-    count = lambda i: F.size(F.filter(F.slice(named, F.lit(1), i + 1), lambda y: y == F.element_at(named, i + 1)))
-    return F.transform(named, lambda x, i: F.when(count(i) > 1, F.concat(x, F.lit("_"), count(i).cast("string"))).otherwise(x))
+#: Fixed value: the name of the N-th column without a head.
+UNNAMED = "열"
+
+
+def headers(cells, width=None):
+    """Column heads without blanks and repeats, ``width`` of them: blanks and missing ones are named by their place, a repeat gets _k."""
+    width = F.size(cells) if width is None else width
+    filled = F.transform(F.sequence(F.lit(1), width), lambda i: F.coalesce(F.nullif(T.strip(F.get(cells, i - 1)), F.lit("")), F.concat(F.lit(UNNAMED), i.cast("string"))))
+    count = lambda i: F.size(F.filter(F.slice(filled, F.lit(1), i + 1), lambda y: y == F.element_at(filled, i + 1)))
+    return F.transform(filled, lambda x, i: F.when(count(i) > 1, F.concat(x, F.lit("_"), count(i).cast("string"))).otherwise(x))
 
 
 def write_workbook(sheets: dict[str, DataFrame], folder: str, rows: int = 100_000) -> list[str]:
@@ -53,8 +58,9 @@ def q_sheet_papers(spark, d):
 
 
 def q_sheet_tables(spark, d):
-    t = load(spark, d, "paper_tables").select("table_id", headers(F.element_at(grid_rows(F.col("table_text")), 1)).alias("h"))
-    return t.filter("h is not null").select("table_id", F.array_join("h", " | ").alias("headers"))
+    t = load(spark, d, "paper_tables").select("table_id", grid_rows(F.col("table_text")).alias("g")).filter("size(g) > 0")
+    width = F.array_max(F.transform("g", lambda r: F.size(r)))
+    return t.select("table_id", F.array_join(headers(F.element_at("g", 1), width), " | ").alias("headers"))
 
 
 def q_sheet_keywords(spark, d):
@@ -82,10 +88,46 @@ def q_collect_report(spark, d):
     return p.groupBy(has("full_text_link").alias("has_link"), has("abstract").alias("has_abstract"), F.col("published_year").isNotNull().alias("has_year")).agg(F.count("*").alias("n"))
 
 
-def q_llm_calls(spark, d):
-    """Events as a log of calls: latencies and failures by operation."""
+CALLS = "created_at timestamp, operation string, model string, prompt string, response string, success boolean, error string, latency_ms double, cache_hit boolean, prompt_tokens long, completion_tokens long, context string"
+
+
+def record_calls(log: DataFrame, new: DataFrame) -> DataFrame:
+    """The log of model calls with new ones appended: columns by name, missing ones null, a missing success or cache_hit false.
+
+    Rows that don't fit (a text where a number belongs) get nulls; nothing raises, as a log must not stop the work.
+    """
+    kinds = [c.strip().split(" ") for c in CALLS.split(",")]
+    row = new.select(*[F.col(c).try_cast(k).alias(c) if c in new.columns else F.lit(None).cast(k).alias(c) for c, k in kinds])
+    row = row.fillna(False, ["success", "cache_hit"])
+    return log.select(*[c for c, _ in kinds]).unionByName(row)
+
+
+def list_calls(log: DataFrame, operation: str | None = None, success: bool | None = None, limit: int = 200) -> DataFrame:
+    """The newest calls, of one operation and outcome if asked; ties by operation and prompt."""
+    if operation:
+        log = log.filter(F.col("operation") == operation)
+    if success is not None:
+        log = log.filter(F.col("success") == success)
+    return log.orderBy(F.desc("created_at"), "operation", "prompt").limit(limit)
+
+
+def _calls(spark, d):
+    """Events as a log of calls."""
     e = load(spark, d, "events")
-    return e.groupBy(F.col("event_type").alias("operation")).agg(F.count("*").alias("calls"), F.round(F.avg("value"), 4).alias("mean_latency"), F.round(F.max("value"), 4).alias("max_latency"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("tokens"))
+    new = e.select(F.col("ts").alias("created_at"), F.col("event_type").alias("operation"), F.col("event_id").cast("string").alias("prompt"), (F.col("event_type") != "error").alias("success"), F.col("value").alias("latency_ms"), F.get_json_object("props", "$.k").alias("prompt_tokens"))
+    return record_calls(spark.createDataFrame([], CALLS), new)
+
+
+def q_llm_calls(spark, d):
+    """The newest 200 successful purchases of the log."""
+    c = list_calls(_calls(spark, d), "purchase", True)
+    return c.select("operation", "prompt", "success", F.round("latency_ms", 6).alias("latency_ms"), "cache_hit", "prompt_tokens")
+
+
+def q_record_calls(spark, d):
+    """The log after all events were appended, by operation."""
+    c = _calls(spark, d)
+    return c.groupBy("operation").agg(F.count("*").alias("calls"), F.count_if("success").alias("done"), F.sum("prompt_tokens").alias("tokens"), F.round(F.max("latency_ms"), 6).alias("longest"))
 
 
 def q_newest_n(spark, d):
@@ -116,10 +158,26 @@ def q_result_id(spark, d):
     return s.select("summary_id", T.result_id(F.col("generated_at"), F.col("summary_id")).alias("rid"))
 
 
+def json_text(c):
+    """A text as a JSON string; null is null."""
+    return F.expr(f"substring(to_json(named_struct('x', {c})), 6, length(to_json(named_struct('x', {c}))) - 6)")
+
+
+def cache_key(prompt: str, model: str, temperature: float, tokens: int, schema_hint: str, system_prompt: str):
+    """SHA-256 of what a model call depends on, as JSON with sorted keys; ``prompt`` names a column."""
+    import json
+
+    fixed = [("max_output_tokens", tokens), ("model", model), ("prompt", None), ("schema_hint", schema_hint), ("system_prompt", system_prompt), ("temperature", temperature)]
+    parts = []
+    for i, (k, v) in enumerate(fixed):
+        parts += [F.lit(("{" if i == 0 else ", ") + json.dumps(k) + ": "), json_text(prompt) if v is None else F.lit(json.dumps(v, ensure_ascii=False))]
+    return F.sha2(F.concat(*parts, F.lit("}")), 256)
+
+
 def q_hash_cache_key(spark, d):
     """Equal inputs of a model call: one key per different text, with how often it would be asked."""
     p = load(spark, d, "paragraphs").filter("cleaned_text is not null")
-    return p.groupBy(F.sha2("cleaned_text", 256).alias("cache_key")).agg(F.count("*").alias("calls"))
+    return p.groupBy(cache_key("cleaned_text", "none", 0.0, 512, "{}", "JSON only").alias("cache_key")).agg(F.count("*").alias("calls"))
 
 
 def q_rollup_citations(spark, d):
@@ -139,28 +197,28 @@ def q_star_revenue(spark, d):
 
 QUERIES = {
     "sheet_papers": q_sheet_papers, "sanitize_headers": q_sheet_tables, "sheet_keywords": q_sheet_keywords, "stage_counts": q_stage_counts, "report_totals": q_report_totals, "collect_report": q_collect_report,
-    "scan_llm_calls": q_llm_calls, "newest_n": q_newest_n, "scan_review_docs": q_scan_review_docs, "join_review_to_result": q_review_of_paper, "ocr_block_listing": q_ocr_listing, "result_id": q_result_id,
+    "scan_llm_calls": q_llm_calls, "record_llm_call": q_record_calls, "newest_n": q_newest_n, "scan_review_docs": q_scan_review_docs, "join_review_to_result": q_review_of_paper, "ocr_block_listing": q_ocr_listing, "result_id": q_result_id,
     "cache_key": q_hash_cache_key, "papers_cube": q_rollup_citations, "star_revenue": q_star_revenue,
 }
 
 _C = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 SQL = {
     "sheet_papers": "select paper_id, " + ", ".join(f"case when length(coalesce({c}, '')) > 32767 then substring({c}, 1, 32767 - 9) || chr(10) || '...[cut]' else coalesce({c}, '') end as {c}" for c in ("title", "authors", "journal", "abstract", "abstract_summary")) + " from papers",
-    "sanitize_headers": r"""with l as (select table_id, unnest(string_split(table_text, chr(10))) as line, unnest(range(len(string_split(table_text, chr(10))))) as i from paper_tables), f as (select table_id, arg_min(line, i) as line from l where contains(line, '|') group by 1),
-c as (select table_id, unnest(string_split(regexp_replace(trim(line), '^\||\|$', '', 'g'), '|')) as x, unnest(range(len(string_split(regexp_replace(trim(line), '^\||\|$', '', 'g'), '|')))) as i from f),
-n as (select table_id, i, case when trim(x) = '' then 'column ' || (i + 1) else trim(x) end as x from c), k as (select *, count(*) over (partition by table_id, x order by i) as k from n)
+    "sanitize_headers": f"""with {_GRID}, w as (select table_id, max(len(cells)) as w, arg_min(cells, row) as head from g group by 1),
+c as (select table_id, i, coalesce(nullif(trim(head[i]), ''), '열' || i) as x from (select *, unnest(range(1, w + 1)) as i from w)), k as (select *, count(*) over (partition by table_id, x order by i) as k from c)
 select table_id, string_agg(case when k > 1 then x || '_' || k else x end, ' | ' order by i) as headers from k group by 1""",
     "sheet_keywords": "with l as (select keyword_id, count(distinct paper_id) as papers, max(score) as top_score from (select distinct * from paper_keywords) group by 1) select keyword_id, display_form, frequency, coalesce(papers, 0) as papers, top_score from keywords left join l using (keyword_id)",
     "stage_counts": "select strftime(ts, '%Y-%m-%d') as stage, " + ", ".join(f"count_if(event_type = '{e}') as {e}" for e in ("click", "error", "purchase", "signup", "view")) + " from events group by 1",
     "report_totals": "select coalesce(nullif(trim(section_name), ''), '본문') as section, count(*) as n, count(distinct paper_id) as papers, round(avg(coalesce(is_topic_relevant, false)::int), 5) as relevant from paragraphs group by 1",
     "collect_report": "select coalesce(trim(full_text_link) <> '', false) as has_link, coalesce(trim(abstract) <> '', false) as has_abstract, published_year is not null as has_year, count(*) as n from papers group by 1, 2, 3",
-    "scan_llm_calls": "select event_type as operation, count(*) as calls, round(avg(value), 4) as mean_latency, round(max(value), 4) as max_latency, sum(json_extract_string(props, '$.k')::bigint)::bigint as tokens from events group by 1",
+    "scan_llm_calls": "select event_type as operation, event_id::varchar as prompt, true as success, round(value, 6) as latency_ms, false as cache_hit, json_extract_string(props, '$.k')::bigint as prompt_tokens from events where event_type = 'purchase' order by ts desc, event_id::varchar limit 200",
+    "record_llm_call": "select event_type as operation, count(*) as calls, count_if(event_type <> 'error') as done, sum(json_extract_string(props, '$.k')::bigint)::bigint as tokens, round(max(value), 6) as longest from events group by 1",
     "newest_n": "select event_id, user_id, value from events where event_type = 'error' order by ts desc, event_id limit 10",
     "scan_review_docs": "select document_id, filename, status, row_number() over (partition by status order by created_at desc, document_id) as position from review_documents",
     "join_review_to_result": "with n as (select paper_id, arg_max(document_id, (created_at, document_id)) as document_id from review_documents where paper_id is not null group by 1) select paper_id, document_id from (select distinct paper_id from paper_summaries) left join n using (paper_id)",
     "ocr_block_listing": f"with b as (select document_id, unnest(blocks) as b from review_documents) select document_id, b.block_id as block_id, b.confidence as confidence, 'p' || b.page || ' · ' || b.block_type || ' · ' || substring({_C.format('b.ocr_text')}, 1, 80) as label from b where trim(b.ocr_text) <> ''",
     "result_id": "select summary_id, 'r-' || strftime(generated_at::timestamp, '%Y%m%d') || '-' || substring(sha256(summary_id::varchar), 1, 8) as rid from paper_summaries",
-    "cache_key": "select sha256(cleaned_text) as cache_key, count(*) as calls from paragraphs where cleaned_text is not null group by 1",
+    "cache_key": """select sha256('{"max_output_tokens": 512, "model": "none", "prompt": ' || to_json(cleaned_text)::varchar || ', "schema_hint": "{}", "system_prompt": "JSON only", "temperature": 0.0}') as cache_key, count(*) as calls from paragraphs where cleaned_text is not null group by 1""",
     "papers_cube": "select journal, published_year, count(*) as n from papers where journal is not null and published_year is not null and trim(journal) <> '' group by cube (journal, published_year)",
     "star_revenue": "select n_name, year(o_orderdate)::int as year, sum((l_extendedprice * (1 - l_discount))::decimal(18, 4))::double as revenue, count(*) as n from lineitem join orders on o_orderkey = l_orderkey join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey group by 1, 2",
 }

@@ -80,10 +80,27 @@ def usable_paragraphs(paragraphs: DataFrame, dim: int = 64) -> DataFrame:
     return paragraphs.filter(f"is_topic_relevant and size(embedding) = {dim} and exists(embedding, x -> x <> 0)")
 
 
+def _cosines(batches):
+    """query_id, paper_id, paragraph_id, paragraph_order, q, v -> their cosine, rounded; a vector of another length or of zeros gives 0."""
+    for pdf in batches:
+        fits = (pdf["q"].map(len) == pdf["v"].map(len)).to_numpy(bool)
+        value = np.zeros(len(pdf))
+        if fits.any():
+            a, b = np.stack(pdf["q"][fits]).astype("f8"), np.stack(pdf["v"][fits]).astype("f8")
+            size = np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b))
+            value[fits] = np.divide(np.einsum("ij,ij->i", a, b), size, out=np.zeros(len(a)), where=size > 0)
+        yield pdf[["query_id", "paper_id", "paragraph_id", "paragraph_order"]].assign(similarity=np.round(value, 6))
+
+
 def paragraph_similarity(pairs: DataFrame, paragraphs: DataFrame, dim: int = 64) -> DataFrame:
-    """pairs(query_id, paper_id, q) with each usable paragraph of the paper and its cosine with q."""
-    p = usable_paragraphs(paragraphs, dim).select("paper_id", "paragraph_id", "paragraph_order", "embedding")
-    return pairs.join(p, "paper_id").withColumn("similarity", F.round(V.cosine(F.col("q"), F.col("embedding")), 6)).drop("embedding")
+    """pairs(query_id, paper_id, q) with each usable paragraph of the paper and its cosine with q.
+
+    Scored in Arrow batches by matrix rows; a null q gives 0.
+    """
+    p = usable_paragraphs(paragraphs, dim).select("paper_id", "paragraph_id", "paragraph_order", F.col("embedding").alias("v"))
+    q = F.coalesce("q", F.array().cast(dict(pairs.dtypes)["q"]))
+    j = pairs.withColumn("q", q).join(p, "paper_id").select("query_id", "paper_id", "paragraph_id", "paragraph_order", "q", "v")
+    return j.mapInPandas(_cosines, f"query_id {dict(pairs.dtypes)['query_id']}, paper_id long, paragraph_id long, paragraph_order int, similarity double")
 
 
 def primary_scores(links: DataFrame, keywords: DataFrame, papers: DataFrame, paragraphs: DataFrame, as_of: int = DEFAULTS.as_of_year, dim: int = 64) -> DataFrame:
@@ -117,54 +134,66 @@ def paper_profiles(papers: DataFrame, paragraphs: DataFrame, links: DataFrame, k
     return out.withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
 
 
-def relations(profiles: DataFrame, asked: str, top: int = DEFAULTS.relation_top_k) -> DataFrame:
+def relations(profiles: DataFrame, asked: str = "true", top: int = DEFAULTS.relation_top_k) -> DataFrame:
     """(source_paper_id, related_paper_id, relation_score): the ``top`` best relations of each paper that meets ``asked``.
 
     0.6 cosine + 0.3 Jaccard of terms + 0.1 nearness of years; candidates need a vector,
-    a paper isn't related to itself, ties go to the smaller id.  The asked papers, at most
-    100,000 (checked), go to every task, which scores its block of candidates against all
-    of them and keeps its own best.
+    a paper isn't related to itself, ties go to the smaller id.  The asked papers go to
+    every task in blocks of V.QUERY_BLOCK; a task scores its candidates against V.ROWS of
+    them at a time, so its memory does not grow with either side, and keeps its own best.
     """
-    q = profiles.filter(asked).filter("v is not null").orderBy("paper_id").limit(100_001).toPandas()
-    if len(q) > 100_000:
-        raise ValueError("more than 100,000 papers asked for at once")
-    ids = q["paper_id"].to_numpy()
-    unit = np.stack(q["v"]).astype("f8") if len(q) else np.zeros((0, 64))
-    unit = unit / np.linalg.norm(unit, axis=1)[:, None] if len(q) else unit
-    years = q["published_year"].to_numpy(dtype="f8") if len(q) else np.zeros(0)
-    sizes = q["terms"].map(len).to_numpy(dtype="f8") if len(q) else np.zeros(0)
-    holders: dict[str, list[int]] = {}
-    for i, terms in enumerate(q["terms"] if len(q) else []):
-        for t in terms:
-            holders.setdefault(t, []).append(i)
-    holders = {t: np.array(x) for t, x in holders.items()}
+    schema = "source_paper_id long, related_paper_id long, relation_score double"
+    out = profiles.sparkSession.createDataFrame([], schema)
+    for block in V.query_blocks(profiles.filter(asked).filter("v is not null"), "paper_id"):
+        out = out.unionByName(profiles.filter("v is not null").mapInPandas(_relation_scorer(block.toPandas(), top), schema))
+    rank = F.row_number().over(Window.partitionBy("source_paper_id").orderBy(F.desc("relation_score"), "related_paper_id"))
+    return out.withColumn("rank", rank).filter(F.col("rank") <= top)
+
+
+def _unit(v: pd.Series) -> np.ndarray:
+    m = np.stack(v).astype("f8")
+    return m / np.linalg.norm(m, axis=1)[:, None]
+
+
+def _relation_scorer(q: pd.DataFrame, top: int):
+    """Batches of profiles -> the best of each batch for the asked papers ``q``."""
+    ids, unit = q["paper_id"].to_numpy(), _unit(q["v"]) if len(q) else None
+    years, sizes = q["published_year"].to_numpy(dtype="f8"), q["terms"].map(len).to_numpy(dtype="f8")
+    number = {t: i for i, t in enumerate(sorted({t for terms in q["terms"] for t in terms}))}
+    # Asked papers of each term, in order.
+    at = np.array([number[t] for terms in q["terms"] for t in terms], "i8")
+    whose = np.repeat(np.arange(len(q)), sizes.astype(int))
+    order = np.lexsort((whose, at))
+    at, whose = at[order], whose[order]
 
     def score(batches):
         for pdf in batches:
             if not len(pdf) or not len(ids):
                 continue
-            pdf = pdf.sort_values("paper_id")
-            m = np.stack(pdf["v"]).astype("f8")
-            m = m / np.linalg.norm(m, axis=1)[:, None]
-            own, y = pdf["paper_id"].to_numpy(), pdf["published_year"].to_numpy(dtype="f8")
-            common = np.zeros((len(ids), len(pdf)))
-            for j, terms in enumerate(pdf["terms"]):
-                for t in terms:
-                    if t in holders:
-                        common[holders[t], j] += 1
+            m, own, y = _unit(pdf["v"]), pdf["paper_id"].to_numpy(), pdf["published_year"].to_numpy(dtype="f8")
             n = pdf["terms"].map(len).to_numpy(dtype="f8")
-            jac = np.divide(common, sizes[:, None] + n[None, :] - common, out=np.zeros_like(common), where=common > 0)
-            near = np.nan_to_num(np.maximum(0.0, 1 - np.abs(years[:, None] - y[None, :]) / 10.0), nan=0.0)
-            s = np.round(0.6 * np.round(unit @ m.T, 6) + 0.3 * jac + 0.1 * near, 6)
-            s[ids[:, None] == own[None, :]] = -9
-            best = np.argsort(-s, axis=1, kind="stable")[:, : top + 1]
-            i, j = np.repeat(np.arange(len(ids)), best.shape[1]), best.ravel()
-            keep = s[i, j] > -9
-            yield pd.DataFrame({"source_paper_id": ids[i[keep]], "related_paper_id": own[j[keep]], "relation_score": s[i[keep], j[keep]]})
-
-    near = profiles.filter("v is not null").mapInPandas(score, "source_paper_id long, related_paper_id long, relation_score double")
-    rank = F.row_number().over(Window.partitionBy("source_paper_id").orderBy(F.desc("relation_score"), "related_paper_id"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= top)
+            held = [(number[t], j) for j, terms in enumerate(pdf["terms"]) for t in terms if t in number]
+            terms, mine = np.array(held, "i8").reshape(-1, 2).T
+            lo, hi = np.searchsorted(at, terms), np.searchsorted(at, terms, "right")
+            count = hi - lo
+            left = whose[np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+            right = np.repeat(mine, count)
+            order = np.argsort(left, kind="stable")
+            left, right = left[order], right[order]
+            for first in range(0, len(ids), V.ROWS):
+                rows = slice(first, min(first + V.ROWS, len(ids)))
+                a, b = np.searchsorted(left, [rows.start, rows.stop])
+                common = np.zeros((rows.stop - first, len(pdf)))
+                np.add.at(common, (left[a:b] - first, right[a:b]), 1)
+                jac = np.divide(common, sizes[rows, None] + n[None, :] - common, out=np.zeros_like(common), where=common > 0)
+                near = np.nan_to_num(np.maximum(0.0, 1 - np.abs(years[rows, None] - y[None, :]) / 10.0), nan=0.0)
+                s = np.round(0.6 * np.round(unit[rows] @ m.T, 6) + 0.3 * jac + 0.1 * near, 6)
+                s[ids[rows, None] == own[None, :]] = -9
+                i, j = V.top_columns(s, top + 1)
+                keep = s[i, j] > -9
+                yield pd.DataFrame({"source_paper_id": ids[first + i[keep]], "related_paper_id": own[j[keep]], "relation_score": s[i[keep], j[keep]]})
+
+    return score
 
 
 def top_relation(edges: DataFrame) -> DataFrame:
