@@ -22,9 +22,11 @@ class Settings:
     min_coverage: float = 0.9
     table_min_quality: float = 0.7
     cell_limit: int = 32_767
+    sheet_rows: int = 1_048_576
+    download_max_mb: int = 50
     as_of_year: int = 2024
     default_section: str = "본문"
-    licenses: tuple[str, ...] = ("cc-by", "cc-by-sa", "cc0", "public-domain")
+    licenses: tuple[str, ...] = ("cc-by", "cc-by-sa", "cc0")
     categories: tuple[str, ...] = field(default=("title", "author", "abstract", "section_header", "text", "table", "table_caption", "figure", "figure_caption", "formula", "reference", "header_footer"))
 
 

@@ -36,13 +36,14 @@ def slug(c: Column, default: str = "paper", limit: int = 80) -> Column:
 
 
 def doi(c: Column) -> Column:
-    """A DOI without the resolver's address, lower case; blank gives null."""
-    return F.nullif(F.lower(F.regexp_replace(strip(c), r"(?i)^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)", "")), F.lit(""))
+    """A DOI without the resolver's address; blank gives null."""
+    return F.nullif(F.regexp_replace(strip(c), r"^https://doi\.org/|^http://doi\.org/", ""), F.lit(""))
 
 
 def work_id(c: Column) -> Column:
-    """The work number at the end of an address: W and digits; null where there is none."""
-    return F.nullif(F.regexp_extract(c, r"(W\d+)/?$", 1), F.lit(""))
+    """The work number in the last part of an address: W, in either case, and digits; null where it is something else."""
+    number = F.regexp_extract(F.element_at(F.split(F.regexp_replace(strip(c), r"/+$", ""), "/"), -1), r"^[Ww](\d+)$", 1)
+    return F.when(number != "", F.concat(F.lit("W"), number))
 
 
 def query_terms(c: Column) -> Column:
@@ -68,13 +69,28 @@ def year(c: Column) -> Column:
 
 def strip_abstract_heading(c: Column) -> Column:
     """An abstract without its own heading word."""
-    return strip(F.regexp_replace(c, r"(?iU)^\s*(?:abstract|초록|요약)\s*[:.\-—–]?\s*", ""))
+    return strip(F.regexp_replace(c, r"(?iU)^\s*(?:abstract|초록|요약)\s*(?:[:：.\-–—]\s*)?(?:\r?\n|\s+)", ""))
 
 
-def author_list(c: Column) -> Column:
-    """Names of an author line: split at commas, semicolons and line ends, marks of affiliation removed."""
-    names = F.transform(F.split(F.coalesce(c, F.lit("")), r"[,;\n]+"), lambda x: collapse(F.regexp_replace(x, r"[\d*†‡§¶]+", "")))
-    return F.array_distinct(F.filter(names, lambda x: F.length(x) > 1))
+# Where affiliations begin in an author block, and the marks behind names.
+AFFILIATION = r"(?i)(?:@|\b(?:university|institute|laborator(?:y|ies)|research|department|school|college|centre|center|corporation|company|\bco\.|\bltd\.?|\binc\.?)\b)"
+AUTHOR_MARKS = r"\s*[*∗†‡]\s*\d*(?:\s*,\s*\d+)*|\d+\s*[*∗†‡](?=\s*(?:,|$))|(?<=[A-Za-z])\d+(?=\s*(?:,|$))"
+
+
+def author_list(blocks: Column) -> Column:
+    """Names of an array of author blocks in order: their lines up to the first affiliation, without marks, split at commas, semicolons and line ends."""
+    lines = F.transform(blocks, lambda b: F.filter(F.transform(F.split(F.coalesce(b, F.lit("")), r"\r?\n"), strip), lambda x: x != ""))
+    start = F.struct(F.array().cast("array<string>").alias("names"), F.lit(False).alias("over"))
+
+    def step(s, block):
+        # The lines before the first affiliation: all of them if there is none.
+        hit = F.array_position(F.transform(block, lambda x: x.rlike(AFFILIATION)), True)
+        own = F.when(hit > 0, F.slice(block, F.lit(1), (hit - 1).cast("int"))).otherwise(block)
+        more = F.when(F.size(own) > 0, F.array(F.array_join(own, " "))).otherwise(F.array().cast("array<string>"))
+        return F.when(s["over"], s).otherwise(F.struct(F.concat(s["names"], more).alias("names"), (hit > 0).alias("over")))
+
+    text = F.regexp_replace(F.array_join(F.aggregate(F.coalesce(lines, F.array().cast("array<array<string>>")), start, step, lambda s: s["names"]), ", "), AUTHOR_MARKS, "")
+    return F.filter(F.transform(F.split(text, r"[,;\n]+"), strip), lambda x: x != "")
 
 
 def keyword_list(c: Column) -> Column:
@@ -83,13 +99,17 @@ def keyword_list(c: Column) -> Column:
     return clean_items(F.transform(F.split(body, r"[,;•\n]+"), lambda x: F.regexp_replace(x, r"^[\s.]+|[\s.]+$", "")))
 
 
-def cut(c: Column, limit: int, marker: str = "…") -> Column:
-    """At most ``limit`` characters on one line, pipes made slashes, with a marker where something is missing."""
-    flat = F.translate(collapse(c), "|", "/")
+def cut(c: Column, limit: int = 60, marker: str = "…") -> Column:
+    """At most ``limit`` characters on one line, line ends shown, pipes made slashes, with a marker where something is missing."""
+    flat = F.translate(F.replace(c, F.lit("\n"), F.lit(" ⏎ ")), "|", "/")
     return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit - len(marker)), F.lit(marker))).otherwise(flat)
 
 
-def cell_text(c: Column, limit: int, marker: str = "\n...[cut]") -> Column:
+#: Fixed value: what stands where a workbook's cell was cut.
+CELL_CUT = "\n...[Excel 셀 길이 제한으로 잘림]"
+
+
+def cell_text(c: Column, limit: int, marker: str = CELL_CUT) -> Column:
     """A value fit for a workbook's cell; null is empty."""
     c = F.coalesce(c, F.lit(""))
     return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit - len(marker)), F.lit(marker))).otherwise(c)

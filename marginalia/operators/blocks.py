@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from marginalia.config import DEFAULTS, Settings
 from marginalia.functions import text as T
-from marginalia.storage import load
+from marginalia.functions import vectors as V
+from marginalia.storage import load, persist_table
 
-from .grouped import per_group
+from .grouped import numbered, per_group
 
 # Headings and labels that decide where a block goes.
 REFERENCE_HEAD = r"(?iU)^\s*(references|appendix|참고문헌|부록)\b"
@@ -25,7 +26,8 @@ KEYWORD_LABEL = r"(?iU)^\s*(keywords?|key\s*words?|색인어|주요\s*검색어|
 DROPPED = ("figure", "figure_caption", "formula", "header_footer", "reference")
 META = ("title", "author", "abstract")
 TABLES = ("table", "table_caption")
-STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "each", "for", "from", "in", "is", "it", "nor", "of", "on", "or", "that", "the", "this", "to", "was", "we", "were", "with")
+KEYWORD_TOKEN = r"([A-Za-z][A-Za-z0-9_-]{2,}|[가-힣]{2,})"
+STOPWORDS = ("this", "that", "with", "from", "study", "paper", "논문", "연구", "결과")
 
 
 def _doc():
@@ -106,7 +108,7 @@ def sections(routed: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     return body.withColumn("section", F.coalesce(head, F.lit(s.default_section))).filter("block_type <> 'section_header'")
 
 
-_SENTENCE_END = re.compile(r"[.!?。][\"'”’)\]]*$|다$")
+_SENTENCE_END = re.compile(r"[.!?。][\"')\]}]*$")
 _BOUNDARY = re.compile(r"[.!?。]\s+|다\.")
 
 
@@ -174,18 +176,31 @@ def keyword_scores(terms: DataFrame, papers: DataFrame, paragraphs: DataFrame) -
     return r.select("paper_id", "term", F.round(0.3 * hit("t") + 0.2 * hit("a") + 0.2 * share + F.when(F.col("is_author"), 0.3).otherwise(0.0), 6).alias("score"))
 
 
-def resolve_batch(batch: DataFrame, terms: DataFrame) -> DataFrame:
-    """A batch of (term, n) against the dictionary(term, keyword_id, frequency): what each becomes.
+def resolve_batch(batch: DataFrame, keywords: DataFrame, aliases: DataFrame, s: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+    """(resolved, new aliases) of a batch(term, n, v) against keywords(keyword_id, term, frequency, embedding) and aliases(alias, keyword_id).
 
-    Known terms raise the frequency, new ones get ids after the largest, in order of term.
-    Ids are dealt by range partition offsets, so no task sees the whole batch.
+    resolved(term, keyword_id, frequency, via): a term that is a keyword ("term") or else an
+    alias ("alias") raises the frequency; one whose vector is at least ``s.alias_threshold``
+    like the nearest keyword's becomes its alias ("merged"); all others are new and get ids
+    after the largest in order of their buckets.  A term is judged against what is stored,
+    not against other terms of the batch.  Frequencies count all terms of the batch that
+    come to a keyword.
     """
-    known = batch.join(terms, "term").select("term", "keyword_id", (F.coalesce("frequency", F.lit(0)) + F.col("n")).alias("frequency"), F.lit("known").alias("via"))
-    top = terms.agg(F.coalesce(F.max("keyword_id"), F.lit(0))).first()[0]
-    new = batch.join(terms.select("term"), "term", "left_anti").withColumn("part", F.substring("term", 1, 2))
-    sizes = new.groupBy("part").agg(F.count("*").alias("m")).withColumn("start", F.sum("m").over(Window.partitionBy(F.lit(1)).orderBy("part")) - F.col("m")).drop("m")
-    new = new.join(F.broadcast(sizes), "part").withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("term")))
-    return known.unionByName(new.select("term", (F.lit(top) + F.col("start") + F.col("r")).alias("keyword_id"), F.col("n").cast("long").alias("frequency"), F.lit("new").alias("via")))
+    direct = batch.join(keywords.select("term", "keyword_id"), "term").select("term", "n", "keyword_id", F.lit("term").alias("via"))
+    other = batch.join(keywords.select("term"), "term", "left_anti").join(aliases.select(F.col("alias").alias("term"), "keyword_id"), "term")
+    known = direct.unionByName(other.select("term", "n", "keyword_id", F.lit("alias").alias("via")))
+    left = persist_table(batch.join(known.select("term"), "term", "left_anti"), "terms-left")
+    near = V.best_matches(left.select(F.col("term").alias("query_id"), F.col("v").alias("q")), keywords.select(F.col("keyword_id").alias("id"), F.col("embedding").alias("v")), None, 1)
+    near = near.filter(F.round("similarity", 6) >= s.alias_threshold).select(F.col("query_id").alias("term"), F.col("id").alias("keyword_id"))
+    merged = left.join(near, "term").select("term", "n", "keyword_id", F.lit("merged").alias("via"))
+    top = keywords.agg(F.coalesce(F.max("keyword_id"), F.lit(0))).first()[0]
+    new = numbered(left.join(near, "term", "left_anti").select("term", "n"), [], ["term"], "keyword_id", top)
+    both = known.unionByName(merged)
+    total = both.groupBy("keyword_id").agg(F.sum("n").alias("more"))
+    stored = keywords.select("keyword_id", F.coalesce("frequency", F.lit(0)).alias("f"))
+    old = both.join(total, "keyword_id").join(stored, "keyword_id").select("term", "keyword_id", (F.col("f") + F.col("more")).cast("long").alias("frequency"), "via")
+    fresh = new.select("term", "keyword_id", F.col("n").cast("long").alias("frequency"), F.lit("new").alias("via"))
+    return old.unionByName(fresh), merged.select(F.col("term").alias("alias"), "keyword_id")
 
 
 # Queries --------------------------------------------------------------------------------------------------
@@ -243,16 +258,19 @@ def q_body_keyword_freq(spark, d):
 
 
 def q_keyword_resolve(spark, d):
-    """Terms of all summaries as a batch against the stored keywords."""
-    s = load(spark, d, "paper_summaries").select(F.explode(T.unique_terms(F.col("keywords"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    k = load(spark, d, "keywords").select(T.keyword(F.col("keyword")).alias("term"), "keyword_id", "frequency").filter("term <> ''")
-    k = k.groupBy("term").agg(F.min("keyword_id").alias("keyword_id"), F.sum(F.coalesce("frequency", F.lit(0))).alias("frequency"))
-    return resolve_batch(s, k)
+    """Terms of all paragraphs as a batch, each with the vector of the first paragraph that names it, against the stored keywords and their display forms as aliases."""
+    p = load(spark, d, "paragraphs").select("paragraph_id", "embedding", F.explode(T.unique_terms(F.col("keywords"))).alias("term"))
+    batch = p.groupBy("term").agg(F.count("*").alias("n"), F.min_by("embedding", F.when(F.size("embedding") == 64, F.col("paragraph_id"))).alias("v"))
+    k = load(spark, d, "keywords").select(T.keyword(F.col("keyword")).alias("term"), "keyword_id", "frequency", "embedding", "display_form").filter("term <> ''")
+    stored = k.groupBy("term").agg(F.min("keyword_id").alias("keyword_id"), F.sum(F.coalesce("frequency", F.lit(0))).alias("frequency"), F.min_by("embedding", "keyword_id").alias("embedding"))
+    forms = k.select("term", F.explode(F.array(T.strip(F.col("display_form")), T.keyword(F.col("display_form")))).alias("alias")).filter("alias <> ''")
+    forms = forms.join(stored.select("term", "keyword_id"), "term").groupBy("alias").agg(F.min("keyword_id").alias("keyword_id"))
+    return resolve_batch(batch, stored, forms)[0]
 
 
 def q_fallback_keyword_top5(spark, d):
     """The five most frequent tokens of each abstract, stop words left out."""
-    t = load(spark, d, "papers").select("paper_id", F.explode(T.query_terms(F.lower("abstract"))).alias("token")).filter(~F.col("token").isin(*STOPWORDS))
+    t = load(spark, d, "papers").select("paper_id", F.explode(F.regexp_extract_all(F.lower("abstract"), F.lit(KEYWORD_TOKEN), F.lit(1))).alias("token")).filter(~F.col("token").isin(*STOPWORDS))
     g = t.groupBy("paper_id", "token").agg(F.count("*").alias("n"))
     return g.withColumn("rank", F.row_number().over(Window.partitionBy("paper_id").orderBy(F.desc("n"), "token"))).filter("rank <= 5")
 
@@ -265,13 +283,33 @@ def q_strip_abstract_heading(spark, d):
     return load(spark, d, "papers").select("paper_id", F.md5(T.strip_abstract_heading(F.concat(F.lit("Abstract: "), F.col("abstract")))).alias("h"))
 
 
+def paper_meta(routed: DataFrame) -> DataFrame:
+    """(document_id, title, abstract, published_year) of routed blocks: meta texts by line, the year first named in title, abstract and the first 20 blocks."""
+    t = T.strip(F.coalesce("text", F.lit("")))
+    b = routed.withColumn("t", t).withColumn("place", F.row_number().over(_doc()))
+    joined = lambda keep, sep, c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("place", F.col(c).alias("t"))))), lambda x: x["t"]), sep)
+    is_meta = lambda kind: (F.col("route") == "meta") & (F.col("block_type") == kind) & (F.col("t") != "")
+    m = b.withColumn("raw", F.coalesce("text", F.lit(""))).groupBy("document_id").agg(joined(is_meta("title"), "\n", "t").alias("title"), joined(is_meta("abstract"), "\n", "t").alias("abstract"), joined(F.col("place") <= 20, "\n", "raw").alias("context"))
+    m = m.withColumn("abstract", T.strip_abstract_heading(F.col("abstract")))
+    return m.select("document_id", "title", "abstract", T.year(F.concat_ws(" ", "title", "abstract", "context")).alias("published_year"))
+
+
 def q_extract_authors(spark, d):
-    return load(spark, d, "papers").select("paper_id", F.explode(T.author_list(F.col("authors"))).alias("author"))
+    """Author lists with marks and an affiliation after them, as one block per name, read again."""
+    bare = lambda x: F.regexp_replace(T.strip(x), r"[\d*∗†‡,\s]+$", "")
+    p = load(spark, d, "papers").select("paper_id", F.transform(F.split("authors", ";"), bare).alias("a"))
+    block = F.transform("a", lambda x, i: F.when(x == "", x).otherwise(F.concat(x, F.when(i % 2 == 0, F.concat((i + 1).cast("string"), F.lit("*"))).otherwise(F.lit("\n∗2,3")))))
+    block = F.concat(block, F.array(F.lit("1 South University of Technology"), F.lit("Not A Name")))
+    return p.select("paper_id", F.posexplode(T.author_list(block)).alias("position", "author"))
+
+
+def q_paper_meta(spark, d):
+    """Title, abstract and year as found in the blocks of each document."""
+    return paper_meta(route(_blocks(spark, d)))
 
 
 def q_extract_year(spark, d):
-    b = _blocks(spark, d).withColumn("y", T.year(F.col("text"))).filter("y is not null")
-    return b.groupBy("document_id").agg(F.min_by("y", F.struct("block_order", "ordinal")).alias("year"))
+    return paper_meta(route(_blocks(spark, d))).filter("published_year is not null").select("document_id", F.col("published_year").alias("year"))
 
 
 def q_norm_keyword(spark, d):
@@ -295,7 +333,7 @@ def q_slug(spark, d):
 
 
 def q_truncate(spark, d):
-    return load(spark, d, "paper_tables").select("table_id", T.cut(F.col("table_text"), 80).alias("preview"))
+    return load(spark, d, "paper_tables").select("table_id", T.cut(F.col("table_text")).alias("preview"))
 
 
 def q_cjk_guard(spark, d):
@@ -311,7 +349,7 @@ QUERIES = {
     "route_blocks": q_route_blocks, "running_section": q_running_section, "page_extents": q_page_extents, "filter_footnote": q_filter_footnote, "recover_author": q_recover_author,
     "build_paragraphs": q_build_paragraphs, "caption_carry": q_caption_carry, "renumber": q_renumber, "keyword_score": q_keyword_score, "body_keyword_freq": q_body_keyword_freq,
     "keyword_resolve": q_keyword_resolve, "fallback_keyword_top5": q_fallback_keyword_top5, "effective_text": q_effective_text, "strip_abstract_heading": q_strip_abstract_heading,
-    "extract_authors": q_extract_authors, "extract_year": q_extract_year, "norm_keyword": q_norm_keyword, "norm_lines": q_norm_lines, "norm_unique": q_norm_unique,
+    "extract_authors": q_extract_authors, "paper_meta": q_paper_meta, "extract_year": q_extract_year, "norm_keyword": q_norm_keyword, "norm_lines": q_norm_lines, "norm_unique": q_norm_unique,
     "query_terms_regex": q_query_terms_regex, "slug": q_slug, "truncate": q_truncate, "cjk_guard": q_cjk_guard, "hash_split": q_hash_split,
 }
 
@@ -346,21 +384,37 @@ t as (select paper_id, term, max(coalesce(s >= 0.8, false)) as is_author from l
 select t.paper_id, t.term, round(0.3 * coalesce(contains({_N.format('p.title')}, t.term), false)::int + 0.2 * coalesce(contains({_N.format('p.abstract')}, t.term), false)::int + 0.2 * coalesce(n::double / most, 0) + 0.3 * is_author::int, 6)::double as score
 from t join papers p using (paper_id) left join body using (paper_id, term) left join m using (paper_id)""",
     "body_keyword_freq": f"with {_BODY} select paper_id, term, n, max(n) over (partition by paper_id) as most from body",
-    "keyword_resolve": f"""with s as (select term, count(*) as n from (select unnest({_UNIQUE.format('keywords')}) as term from paper_summaries) group by 1),
-k as (select term, min(keyword_id) as keyword_id, sum(coalesce(frequency, 0)) as f from (select {_N.format('keyword')} as term, keyword_id, frequency from keywords) where term <> '' group by 1)
-select term, keyword_id, (f + n)::bigint as frequency, 'known' as via from s join k using (term) union all
-select term, (select max(keyword_id) from k) + row_number() over (order by term), n, 'new' from s where term not in (select term from k)""",
-    "fallback_keyword_top5": f"with t as (select paper_id, unnest(regexp_extract_all(lower(abstract), '[A-Za-z][A-Za-z0-9_-]+|[가-힣]{{2,}}')) as token from papers), g as (select paper_id, token, count(*) as n from t where token not in {STOPWORDS} group by 1, 2), r as (select *, row_number() over (partition by paper_id order by n desc, token) as rank from g) select * from r where rank <= 5",
+    "keyword_resolve": f"""with p0 as (select paragraph_id, embedding, unnest({_UNIQUE.format('keywords')}) as term from paragraphs),
+ba as (select term, count(*) as n, arg_min(embedding, paragraph_id) filter (len(embedding) = 64) as v from p0 group by 1),
+k0 as (select {_N.format('keyword')} as term, keyword_id, frequency, embedding, display_form from keywords), k1 as (select * from k0 where term <> ''),
+st as (select term, min(keyword_id) as keyword_id, sum(coalesce(frequency, 0)) as f, arg_min(embedding, keyword_id) as e from k1 group by 1),
+al as (select alias, min(st.keyword_id) as keyword_id from (select term, unnest([trim(display_form), {_N.format('display_form')}]) as alias from k1) join st using (term) where alias <> '' group by 1),
+kn as (select ba.term, n, coalesce(st.keyword_id, al.keyword_id) as keyword_id, case when st.keyword_id is not null then 'term' else 'alias' end as via from ba left join st using (term) left join al on al.alias = ba.term where st.keyword_id is not null or al.keyword_id is not null),
+le as (select * from ba where term not in (select term from kn)),
+cs as (select le.term, le.n, st.keyword_id, list_dot_product(v::double[], e::double[]) / sqrt(list_dot_product(v::double[], v::double[]) * list_dot_product(e::double[], e::double[])) as c from le join st on len(v) = 64 and len(e) = 64 where len(list_filter(v, lambda x: x <> 0)) > 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+me as (select term, n, keyword_id, 'merged' as via from (select *, row_number() over (partition by term order by round(c, 9) desc, keyword_id) as r from cs) where r = 1 and round(c, 6) >= 0.95),
+bo as (select * from kn union all select * from me)
+select term, bo.keyword_id, (st.f + sum(n) over (partition by bo.keyword_id))::bigint as frequency, via from (select bo.*, s.f from bo join (select keyword_id, f from st) s using (keyword_id)) bo join (select keyword_id, f from st) st using (keyword_id) union all
+select term, (select max(keyword_id) from st) + row_number() over (order by term), n, 'new' from le where term not in (select term from me)""",
+    "fallback_keyword_top5": f"with t as (select paper_id, unnest(regexp_extract_all(lower(abstract), '[A-Za-z][A-Za-z0-9_-]{{2,}}|[가-힣]{{2,}}')) as token from papers), g as (select paper_id, token, count(*) as n from t where token not in {STOPWORDS} group by 1, 2), r as (select *, row_number() over (partition by paper_id order by n desc, token) as rank from g) select * from r where rank <= 5",
     "effective_text": f"with {_B} select document_id, block_id, text from b",
     "strip_abstract_heading": r"select paper_id, md5(regexp_replace(abstract, '^\s+|\s+$', '', 'g')) as h from papers",
-    "extract_authors": rf"with n as (select paper_id, list_filter(list_distinct(list_transform(regexp_split_to_array(coalesce(authors, ''), '[,;\n]+'), lambda x: {_C.format(chr(114) + 'egexp_replace(x, ' + chr(39) + '[0-9*†‡§¶]+' + chr(39) + ', ' + chr(39) + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')})), lambda x: length(x) > 1) as a from papers) select paper_id, unnest(a) as author from n",
-    "extract_year": rf"with {_B}, y as (select *, nullif(regexp_extract(text, '\b(19\d{{2}}|20\d{{2}})\b', 1), '')::int as y from b) select document_id, arg_min(y, (block_order, ordinal)) as year from y where y is not null group by 1",
+    "extract_authors": r"""with a as (select paper_id, regexp_replace(trim(unnest(string_split(authors, ';'))), '[\d*∗†‡,\s]+$', '') as x, unnest(range(len(string_split(authors, ';')))) as i from papers),
+b as (select *, coalesce(min(case when regexp_matches(x, '(?i)@|\b(university|institute|laborator(y|ies)|research|department|school|college|centre|center|corporation|company|co\.|ltd\.?|inc\.?)\b') then i end) over (partition by paper_id), 1000000) as stop from a),
+c as (select paper_id, trim(unnest(regexp_split_to_array(x, '[,;\n]+'))) as author, i, unnest(range(len(regexp_split_to_array(x, '[,;\n]+')))) as j from b where x <> '' and i < stop)
+select paper_id, (row_number() over (partition by paper_id order by i, j) - 1)::int as position, author from c where author <> ''""",
+    "paper_meta": rf"""with {_ROUTE}, pl as (select *, trim(coalesce(text, '')) as t, coalesce(text, '') as raw, row_number() over (partition by document_id order by block_order, ordinal) as place from routed),
+mm as (select document_id, coalesce(string_agg(t, chr(10) order by place) filter (route = 'meta' and block_type = 'title' and t <> ''), '') as title, trim(regexp_replace(coalesce(string_agg(t, chr(10) order by place) filter (route = 'meta' and block_type = 'abstract' and t <> ''), ''), '(?i)^\s*(abstract|초록|요약)\s*([:：.\-–—]\s*)?(\r?\n|\s+)', '')) as abstract, coalesce(string_agg(raw, chr(10) order by place) filter (place <= 20), '') as context from pl group by 1)
+select document_id, title, abstract, nullif(regexp_extract(title || ' ' || abstract || ' ' || context, '\b(19\d{{2}}|20\d{{2}})\b', 1), '')::int as published_year from mm""",
+    "extract_year": rf"""with {_ROUTE}, pl as (select *, trim(coalesce(text, '')) as t, coalesce(text, '') as raw, row_number() over (partition by document_id order by block_order, ordinal) as place from routed),
+mm as (select document_id, coalesce(string_agg(t, ' ' order by place) filter (route = 'meta' and block_type = 'title'), '') || ' ' || coalesce(string_agg(t, ' ' order by place) filter (route = 'meta' and block_type = 'abstract'), '') || ' ' || coalesce(string_agg(raw, ' ' order by place) filter (place <= 20), '') as all_ from pl group by 1),
+y as (select document_id, nullif(regexp_extract(all_, '\b(19\d{{2}}|20\d{{2}})\b', 1), '')::int as year from mm) select * from y where year is not null""",
     "norm_keyword": f"select keyword_id, {_N.format('keyword')} as term from keywords",
     "norm_lines": rf"select table_id, array_to_string(list_filter(list_transform(string_split(table_text, chr(10)), lambda x: {_C.format('x')}), lambda x: x <> ''), chr(10)) as text from paper_tables",
     "norm_unique": f"with u as (select paragraph_id, {_N.format('x')} as t, min(i) as i from (select paragraph_id, unnest(keywords) as x, unnest(range(len(keywords))) as i from paragraphs) where x is not null group by 1, 2) select paragraph_id, coalesce(string_agg(t, '|' order by i) filter (t <> ''), '') as terms from paragraphs left join u using (paragraph_id) group by 1",
     "query_terms_regex": "select paper_id, array_to_string(regexp_extract_all(coalesce(title, ''), '[A-Za-z][A-Za-z0-9_-]+|[가-힣]{2,}'), '|') as terms from papers",
     "slug": "with s as (select paper_id, regexp_replace(substring(regexp_replace(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80), '-+$', '') as s from papers) select paper_id, case when s = '' then 'paper' else s end as slug from s",
-    "truncate": rf"with s as (select table_id, replace({_C.format('table_text')}, '|', '/') as s from paper_tables) select table_id, case when length(s) > 80 then substring(s, 1, 79) || '…' else s end as preview from s",
+    "truncate": "with s as (select table_id, replace(replace(table_text, chr(10), ' ⏎ '), '|', '/') as s from paper_tables) select table_id, case when length(s) > 60 then substring(s, 1, 59) || '…' else s end as preview from s",
     "cjk_guard": r"select paragraph_id from paragraphs where regexp_matches(summary, '[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]')",
     "hash_split": "select document_id, case when ('0x' || substring(sha256(document_id), 1, 16))::uhugeint::double / 18446744073709551616 < 0.2 then 'val' else 'train' end as split from review_documents",
 }

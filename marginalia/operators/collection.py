@@ -29,25 +29,54 @@ def q_candidates(spark, d):
 
 
 def q_collected_ids(spark, d):
-    """The listed works of which the policy lets none through."""
-    ids = load(spark, d, "paper_summaries").select(F.concat(F.lit("W"), "paper_id").alias("source_id")).filter("source_id is not null").distinct()
-    return ids.join(S.candidates(S.works(spark, _dump(spark, d))).select("source_id"), "source_id", "left_anti")
+    """The listed works, all of which the policy lets through; one it does not would be an error."""
+    c = S.candidates(S.works(spark, _dump(spark, d)))
+    listed = load(spark, d, "paper_summaries").select(F.concat(F.lit("https://works.example/w"), "paper_id").alias("id"), "paper_id").filter("paper_id is not null").distinct()
+    # Summaries of papers that the dump offers.
+    offered = load(spark, d, "papers").filter(F.col("full_text_link").startswith("https://") & (T.strip(F.col("title")) != "") & (F.col("paper_id") % 3 != 1) & (F.col("paper_id") % 11 != 0)).select("paper_id")
+    return S.listed(c, listed.join(offered, "paper_id", "left_semi")).select("source_id", "title", "license")
+
+
+def q_sizes(spark, d):
+    """Papers' abstracts as downloads with declared sizes: which keep the limit of one kilobyte, and are not empty."""
+    p = load(spark, d, "papers").select(F.col("paper_id").cast("string").alias("source_id"), F.octet_length(F.coalesce("abstract", F.lit(""))).cast("long").alias("byte_size"), F.when(F.col("published_year").isNotNull(), F.octet_length("abstract").cast("long")).alias("declared"))
+    return S.within_size(p, 1024).select("source_id", "byte_size")
+
+
+def q_smoke_set(spark, d):
+    """The manifest of short copies of the first two pages of all documents with a paper."""
+    r = load(spark, d, "review_documents").filter("paper_id is not null").select(F.col("document_id").alias("source_id"), F.col("source_path").alias("local_path"), F.sha2("document_id", 256).alias("sha256"), F.size("pages").alias("pages"))
+    return S.smoke_set(r, "/smoke", 2).select("source_id", "local_path", "derived_from_sha256", "page_range", "purpose")
+
+
+def q_backfill(spark, d):
+    """Review documents that can be stored, as their paper is, and those that are skipped, by state."""
+    saved, skipped = S.backfill(load(spark, d, "review_documents"), load(spark, d, "papers").filter("published_year is not null"))
+    one = lambda df, state: df.groupBy("phase").agg(F.count("*").alias("n")).withColumn("state", F.lit(state))
+    return one(saved, "saved").unionByName(one(skipped, "skipped"))
+
+
+def q_migrations(spark, d):
+    """Phases of the documents as names of migrations, of which the first by name has been applied."""
+    names = load(spark, d, "review_documents").select(F.col("phase").alias("filename")).filter("filename is not null").distinct()
+    return S.pending(names, names.agg(F.min("filename").alias("filename")))
 
 
 def q_manifest(spark, d):
-    """A manifest of odd papers after an upsert of every third paper: read back from its new version."""
-    p = load(spark, d, "papers").filter("paper_id is not null").select(F.concat(F.lit("W"), "paper_id").alias("source_id"), T.collapse(F.col("title")).alias("title"), F.col("paper_id").alias("byte_size"))
+    """A manifest of all papers after an upsert of all papers with a summary: read back from its new version, the last record of a key winning."""
+    p = load(spark, d, "papers").filter("paper_id is not null").select("paper_id", F.concat(F.lit("W"), "paper_id").alias("source_id"), T.collapse(F.col("title")).alias("title"), F.col("paper_id").alias("byte_size"), F.lit("2024-01-01").alias("retrieved_at"))
     path = new_path(spark, "manifest")
-    p.filter("byte_size % 2 = 1").write.json(path)
-    new = p.filter("byte_size % 3 = 0").withColumn("title", F.lower("title")).withColumn("byte_size", -F.col("byte_size"))
-    return S.jsonl(spark, S.manifest_upsert(spark, path, new), S.MANIFEST).select("source_id", "title", "byte_size")
+    p.drop("paper_id").write.json(path)
+    new = p.join(load(spark, d, "paper_summaries").select("paper_id").distinct(), "paper_id", "left_semi").drop("paper_id").withColumn("title", F.lower("title")).withColumn("byte_size", -F.col("byte_size"))
+    return S.manifest(spark, S.manifest_upsert(spark, path, new)).select("source_id", "title", "byte_size")
 
 
 def q_lookup(spark, d):
-    """The manifest entry of each paper's source file, and of files known by name only."""
+    """The manifest entry of each paper's source file: files under their path, and copies of them known by name only."""
     p = load(spark, d, "papers").filter("source_file_path is not null")
-    m = p.filter("paper_id % 2 = 0").select(F.concat(F.lit("W"), "paper_id").alias("source_id"), "title", F.col("source_file_path").alias("local_path")).dropDuplicates(["local_path"])
-    f = p.select(F.when(F.col("paper_id") % 4 == 0, F.replace(F.col("source_file_path"), F.lit("/data/"), F.lit("/copy/"))).otherwise(F.col("source_file_path")).alias("path")).distinct()
+    m = p.groupBy(F.col("source_file_path").alias("local_path")).agg(F.min(F.concat(F.lit("W"), "paper_id")).alias("source_id"), F.min("title").alias("title"))
+    copy = F.replace(F.col("source_file_path"), F.lit("/data/"), F.lit("/copy/"))
+    f = p.select(F.explode(F.array("source_file_path", copy)).alias("path")).distinct()
     return S.lookup_source(f, m)
 
 
@@ -63,14 +92,18 @@ def q_author_keywords(spark, d):
     return s.select("summary_id", F.size(T.keyword_list(F.col("line"))).alias("n"))
 
 
-QUERIES = {"scan_openalex": q_candidates, "scan_openalex_ids": q_collected_ids, "manifest_upsert": q_manifest, "join_manifest_meta": q_lookup, "hash_vector": q_hash_vector, "extract_author_keywords": q_author_keywords}
+QUERIES = {"filter_size": q_sizes, "smoke_set": q_smoke_set, "backfill_reviews": q_backfill, "apply_migrations": q_migrations, "scan_openalex": q_candidates, "scan_openalex_ids": q_collected_ids, "manifest_upsert": q_manifest, "join_manifest_meta": q_lookup, "hash_vector": q_hash_vector, "extract_author_keywords": q_author_keywords}
 
 _C = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
-_OK = f"select 'W' || paper_id as source_id, '10.9/p' || paper_id as doi, {_C.format('title')} as title, published_year as publication_year, case paper_id % 3 when 0 then 'cc-by' else 'cc0' end as license, len(list_filter(string_split(coalesce(authors, ''), ';'), lambda x: trim(x) <> ''))::int as n_authors from papers where paper_id % 3 <> 1 and paper_id % 11 <> 0 and full_text_link like 'https://%' and trim(title) <> ''"
+_OK = f"select 'W' || paper_id as source_id, '10.9/P' || paper_id as doi, {_C.format('title')} as title, published_year as publication_year, case paper_id % 3 when 0 then 'cc-by' else 'cc0' end as license, len(list_filter(string_split(coalesce(authors, ''), ';'), lambda x: trim(x) <> ''))::int as n_authors from papers where paper_id % 3 <> 1 and paper_id % 11 <> 0 and full_text_link like 'https://%' and trim(title) <> ''"
 SQL = {
     "scan_openalex": _OK,
-    "scan_openalex_ids": f"with c as ({_OK}) select distinct 'W' || paper_id as source_id from paper_summaries where paper_id is not null and 'W' || paper_id not in (select source_id from c)",
-    "manifest_upsert": f"select 'W' || paper_id as source_id, case when paper_id % 3 = 0 then lower({_C.format('title')}) else {_C.format('title')} end as title, case when paper_id % 3 = 0 then -paper_id else paper_id end as byte_size from papers where paper_id % 2 = 1 or paper_id % 3 = 0",
-    "join_manifest_meta": "with m as (select source_file_path as local_path, min('W' || paper_id) as s from papers where source_file_path is not null and paper_id % 2 = 0 group by 1), f as (select distinct case when paper_id % 4 = 0 then replace(source_file_path, '/data/', '/copy/') else source_file_path end as path from papers where source_file_path is not null) select path, coalesce((select min(s) from m where local_path = path), (select min(s) from m where string_split(local_path, '/')[-1] = string_split(path, '/')[-1])) as source_id from f",
+    "scan_openalex_ids": f"with c as ({_OK}) select source_id, title, license from c where source_id in (select 'W' || paper_id from paper_summaries)",
+    "filter_size": "select paper_id::varchar as source_id, strlen(abstract)::bigint as byte_size from papers where strlen(abstract) between 1 and 1024",
+    "smoke_set": "select document_id as source_id, '/smoke/' || document_id || '-smoke-' || least(2, len(pages)) || 'p.pdf' as local_path, sha256(document_id) as derived_from_sha256, '1-' || least(2, len(pages)) as page_range, 'pipeline-smoke-test-only' as purpose from review_documents where paper_id is not null",
+    "backfill_reviews": "select phase, count(*) as n, case when paper_id is null or paper_id in (select paper_id from papers where published_year is not null) then 'saved' else 'skipped' end as state from review_documents group by 1, 3",
+    "apply_migrations": "select distinct phase as filename from review_documents where phase > (select min(phase) from review_documents)",
+    "manifest_upsert": f"select 'W' || paper_id as source_id, case when s then lower({_C.format('title')}) else {_C.format('title')} end as title, case when s then -paper_id else paper_id end as byte_size from (select *, paper_id in (select paper_id from paper_summaries where paper_id is not null) as s from papers)",
+    "join_manifest_meta": "with m as (select source_file_path as local_path, min('W' || paper_id) as s from papers where source_file_path is not null group by 1), n as (select string_split(local_path, '/')[-1] as name, min(s) as s from m group by 1), f as (select distinct unnest([source_file_path, replace(source_file_path, '/data/', '/copy/')]) as path from papers where source_file_path is not null) select path, coalesce(m.s, n.s) as source_id from f left join m on m.local_path = path left join n on n.name = string_split(path, '/')[-1]",
     "extract_author_keywords": r"select summary_id, len(list_distinct(list_filter(list_transform(regexp_split_to_array(regexp_replace('Keywords: ' || coalesce(array_to_string(keywords, '; '), ''), '(?i)^\s*keywords?\s*[:]\s*', ''), '[,;•\n]+'), lambda x: trim(regexp_replace(x, '^[\s.]+|[\s.]+$', '', 'g'))), lambda x: x <> '')))::int as n from paper_summaries",
 }

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,22 +26,6 @@ def headers(cells, width=None):
     return F.transform(filled, lambda x, i: F.when(count(i) > 1, F.concat(x, F.lit("_"), count(i).cast("string"))).otherwise(x))
 
 
-def write_workbook(sheets: dict[str, DataFrame], folder: str, rows: int = 100_000) -> list[str]:
-    """Write each sheet, at most ``rows`` rows (a workbook's bound), as a CSV file of one result's folder; returns the paths.
-
-    One result's sheets are small; large tables are written by Spark instead.
-    """
-    os.makedirs(folder, exist_ok=True)
-    paths = []
-    for name, df in sheets.items():
-        path = os.path.join(folder, f"{name}.csv")
-        df.limit(rows).toPandas().to_csv(path, index=False)
-        paths.append(path)
-    with open(os.path.join(folder, "sheets.json"), "w") as f:
-        json.dump(list(sheets), f)
-    return paths
-
-
 def stage_counts(log: DataFrame, stages: list[str], states: list[str]) -> DataFrame:
     """(stage, one column of counts per state) of log(stage, status)."""
     return log.filter(F.col("stage").isin(*stages)).groupBy("stage").pivot("status", states).agg(F.count(F.lit(1))).fillna(0)
@@ -165,8 +148,6 @@ def json_text(c):
 
 def cache_key(prompt: str, model: str, temperature: float, tokens: int, schema_hint: str, system_prompt: str):
     """SHA-256 of what a model call depends on, as JSON with sorted keys; ``prompt`` names a column."""
-    import json
-
     fixed = [("max_output_tokens", tokens), ("model", model), ("prompt", None), ("schema_hint", schema_hint), ("system_prompt", system_prompt), ("temperature", temperature)]
     parts = []
     for i, (k, v) in enumerate(fixed):
@@ -203,7 +184,7 @@ QUERIES = {
 
 _C = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 SQL = {
-    "sheet_papers": "select paper_id, " + ", ".join(f"case when length(coalesce({c}, '')) > 32767 then substring({c}, 1, 32767 - 9) || chr(10) || '...[cut]' else coalesce({c}, '') end as {c}" for c in ("title", "authors", "journal", "abstract", "abstract_summary")) + " from papers",
+    "sheet_papers": "select paper_id, " + ", ".join(f"case when length(coalesce({c}, '')) > 32767 then substring({c}, 1, 32767 - 24) || chr(10) || '...[Excel 셀 길이 제한으로 잘림]' else coalesce({c}, '') end as {c}" for c in ("title", "authors", "journal", "abstract", "abstract_summary")) + " from papers",
     "sanitize_headers": f"""with {_GRID}, w as (select table_id, max(len(cells)) as w, arg_min(cells, row) as head from g group by 1),
 c as (select table_id, i, coalesce(nullif(trim(head[i]), ''), '열' || i) as x from (select *, unnest(range(1, w + 1)) as i from w)), k as (select *, count(*) over (partition by table_id, x order by i) as k from c)
 select table_id, string_agg(case when k > 1 then x || '_' || k else x end, ' | ' order by i) as headers from k group by 1""",

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from marginalia.operators import blocks, collection, evaluation, layout, mutations, reports, retrieval, scalars
+from marginalia.operators import blocks, bundle, collection, enrich, evaluation, layout, mutations, reports, retrieval, review, scalars
 from marginalia.streaming import events
 
-MODULES = [retrieval, blocks, layout, evaluation, mutations, reports, scalars, collection, events]
+MODULES = [retrieval, bundle, enrich, blocks, layout, evaluation, review, mutations, reports, scalars, collection, events]
 
 
 def queries() -> dict:
