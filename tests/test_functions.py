@@ -21,7 +21,7 @@ def test_normalisers(spark):
     assert one(spark, T.work_id(F.col("x")), x="https://works.example/W123") == "W123" and one(spark, T.work_id(F.col("x")), x="none") is None
     assert one(spark, T.year(F.col("x")), x="in 2018 and 2020") == 2018 and one(spark, T.year(F.col("x")), x="12019") is None
     assert one(spark, T.strip_abstract_heading(F.col("x")), x="초록: 본문") == "본문"
-    assert one(spark, T.author_list(F.col("x")), x="Ann Lee1,*, Bo Ek†; Cy") == ["Ann Lee", "Bo Ek", "Cy"]
+    assert one(spark, T.author_list(F.array("x")), x="Ann Lee1,*, Bo Ek†; Cy") == ["Ann Lee", "Bo Ek", "Cy"]
     assert one(spark, T.keyword_list(F.col("x")), x="Keywords: OCR; layout , OCR.") == ["OCR", "layout"]
     assert one(spark, T.query_terms(F.col("x")), x="RAG 검색 a B2 의") == ["RAG", "검색", "B2"]
     assert one(spark, T.unique_terms(F.col("x")), x=["A ", "a", "", "b"]) == ["a", "b"]
