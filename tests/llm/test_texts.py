@@ -259,3 +259,35 @@ def test_copies_do_not_hide_a_misread_word(spark):
 def test_a_common_misread_word_is_judged_by_its_correction(spark):
     texts = [f"The record number{i} is preserved" for i in range(400)] + [f"The other number{i} is prcserved here" for i in range(10)]
     assert _misread(spark, texts) == {(i, "prcserved", "preserved") for i in range(400, 410)}
+
+
+def _survey(spark, texts, papers=()):
+    rows = [(1, str(i), None, t) for i, t in enumerate(texts)]
+    p = spark.createDataFrame(list(papers), "paper_id long, title string, authors string, journal string")
+    return N.survey(spark.createDataFrame(rows, "field int, rec_key string, paper_id long, text string"), p)
+
+
+def test_heads_in_normal_case_at_the_edges_of_pages(spark):
+    """A line that breaks a sentence at the edge of a text counts by its repetition in different texts; a heading before a sentence doesn't."""
+    head = "Proceedings of the Baltic Workshop"
+    body = "and the number{} of the record was counted again by the\nobservers of the northern station in the following spring"
+    texts = [head + "\n" + body.format(i) for i in range(5)] + ["Introduction\nThe number{} of the record was counted again by all of the\nobservers of the station.".format(i) for i in range(5)]
+    texts += ["Proceedings of the Baltic Workshp\n" + body.format(77), "Single line of its own here\n" + body.format(78)]
+    texts += ["The record number{} was counted by all of the northern\n12\nJournal of Quiet Methods\nobservers of the station in the following spring again.".format(i) for i in range(3)]
+    f = _survey(spark, texts)
+    assert {int(r.rec_key) for r in f.heads.collect()} == {0, 1, 2, 3, 4, 10, 12, 13, 14}
+    assert {r.line for r in f.heads.filter("rec_key in ('12', '13', '14')").collect()} == {2}
+
+
+def test_confusions_are_learnt_from_the_corpus(spark):
+    """A scanner that reads h as b is found out by its rare words, whatever the table starts with."""
+    words = ["there", "other", "whole", "shore", "harbour", "thought", "higher", "rhythm", "method", "archive"]
+    texts = [f"{' '.join(words)} in record {i}" for i in range(40)] + [f"the {w.replace('h', 'b', 1)} of item {i}" for i, w in enumerate(words)]
+    v = spark.createDataFrame([(w, 40) for w in words] + [(w.replace("h", "b", 1), 1) for w in words] + [("otherx", 1), ("shoxe", 1), ("archivo", 1)], "word string, n long")
+    assert N.learnt_confusions(v) == (("b", "h"),)
+    got = {(int(r.rec_key), r.meant) for r in _survey(spark, texts).misread.collect()}
+    assert got == {(40 + i, w) for i, w in enumerate(words)}
+
+
+def test_misreadings_of_long_words():
+    assert "x" * 60 + "e" in N.misreadings("x" * 60 + "c") and N.misreadings("") == []
