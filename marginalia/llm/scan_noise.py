@@ -33,7 +33,7 @@ COMMON = 1e-3
 #: Common words up to this number are sent to all tasks.
 BROADCAST_WORDS = 500_000
 #: A confusion is learnt from at least this many different words, this many times as many as of its reverse, and this share of all words that have one.
-LEARN, ONE_WAY, LEARN_SHARE = 5, 4, 1e-4
+LEARN, ONE_WAY, LEARN_SHARE = 5, 4, 5e-3
 #: Letters that a head's beginning or end must share with a repeated one to be compared with it.
 EDGE = 10
 
@@ -216,16 +216,18 @@ def _gapped(words: DataFrame, names: tuple[str, str, str]) -> DataFrame:
 def learnt_confusions(vocabulary: DataFrame) -> tuple[tuple[str, str], ...]:
     """(seen, meant) pairs of one or two characters that rare words of vocabulary(word, n) show against words RATIO times as frequent.
 
-    Rare words are aligned with frequent ones that differ at one place.  A word that may
-    be explained by several confusions counts for the one that explains most words, so
-    accidental likenesses, each its own, fall away.
+    Rare words are aligned with frequent ones that differ at one place and are not
+    themselves like a still more frequent one.  A word that may be explained by several
+    confusions counts for the one that explains most words, so accidental likenesses, each
+    its own, fall away.
     """
+    by = ["seen", "meant"]
     plain = vocabulary.filter(F.length("word").between(4, 64) & F.col("word").rlike(r"^[\p{Ll}\p{Nd}]+$"))
     often = _gapped(plain.filter((F.col("n") >= RATIO) & F.col("word").rlike(r"^\p{Ll}+$")), ("meant", "right", "n_right"))
     rare = _gapped(plain.filter(F.length("word") >= 5), ("seen", "word", "n"))
     differ = (F.substring("seen", 1, 1) != F.substring("meant", 1, 1)) & (F.substring("seen", -1, 1) != F.substring("meant", -1, 1)) & (F.length("seen") + F.length("meant") < 4)
-    hits = persist_table(rare.join(often, "key").filter(differ & (F.col("n_right") >= RATIO * F.col("n"))).select("word", "seen", "meant").distinct(), "p4-aligned")
-    by = ["seen", "meant"]
+    hits = persist_table(rare.join(often, "key").filter(differ & (F.col("n_right") >= RATIO * F.col("n"))).select("word", "right", "seen", "meant").distinct(), "p4-aligned")
+    hits = hits.join(hits.select(F.col("word").alias("right")).distinct(), "right", "left_anti").select("word", *by).distinct()
     support = hits.groupBy(*by).agg(F.count("*").alias("words"))
     mine = hits.join(support, by).groupBy("word").agg(F.max(F.struct("words", *by)).alias("best")).select("word", "best.seen", "best.meant")
     counts = persist_table(mine.groupBy(*by).agg(F.count("*").alias("words")), "p4-confusions")
