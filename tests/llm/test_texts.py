@@ -291,3 +291,46 @@ def test_confusions_are_learnt_from_the_corpus(spark):
 
 def test_misreadings_of_long_words():
     assert "x" * 60 + "e" in N.misreadings("x" * 60 + "c") and N.misreadings("") == []
+
+
+def _scored(spark, pairs):
+    df = spark.createDataFrame([("paragraph", i, p, a) for i, (p, a, _) in enumerate(pairs)], "kind string, rec_id long, prompt string, answer string")
+    return df, D.posteriors(df).collect()
+
+
+def test_cutoffs_are_the_best_on_held_out_pairs(spark):
+    """Each cutoff lies where the F1 on labelled pairs is largest, and that is high."""
+    from pair_fixture import pairs
+
+    labelled = pairs(2500, 11)
+    df, rows = _scored(spark, labelled)
+    for d in D.DEFECTS:
+        scored = [(r.posterior, labelled[r.rec_id][2] == d) for r in rows if r.defect == d]
+        hit = lambda c: sum(t for p, t in scored if p >= c)
+        f1 = lambda c: 2 * hit(c) / (sum(p >= c for p, _ in scored) + sum(t for _, t in scored))
+        assert f1(D.CUTOFFS[d]) >= f1(D.best_cutoff(scored)[0]) - 0.03 and f1(D.CUTOFFS[d]) >= 0.9, d
+    one = {r.rec_id: r.defect for r in D.one_label(D.labelled(df)).collect()}
+    right = sum(one.get(i) == d for i, (_, _, d) in enumerate(labelled))
+    assert right >= 0.99 * len(labelled)
+
+
+def test_languages_that_no_list_knows(spark):
+    """Dutch, Italian and Swedish answers to prompts in other languages, by n-grams learnt from the prompts."""
+    from pair_fixture import pairs
+
+    mixed = pairs(2000, 5, ("nl", "it", "sv"))
+    df = spark.createDataFrame([("paragraph", i, p, a) for i, (p, a, _) in enumerate(mixed)], "kind string, rec_id long, prompt string, answer string")
+    said = {r.rec_id: D.decode(r.wrong_language, 4)[3] for r in D.votes(df).collect()}
+    wrong = [said[i] for i, (_, _, d) in enumerate(mixed) if d == "wrong_language"]
+    fine = [said[i] for i, (_, _, d) in enumerate(mixed) if d is None]
+    assert wrong.count(1) >= 0.95 * len(wrong) and fine.count(1) <= 0.01 * len(fine)
+
+
+def test_han_and_kana_are_told_apart():
+    zh, ja = "检索模型稍微改变了较短的段落并且保留了全部的表格和标题。", "この論文では段落の要約と表の構造を比較して結果をまとめています。"
+    assert D.script(zh) == "han" and D.script(ja) == "kana" and D.language_of(zh) == "han"
+    assert D.vote(zh * 3, ja)[4][2] == 1 and D.vote(zh * 3, zh)[4][2] == 0
+
+
+def test_best_cutoff():
+    assert D.best_cutoff([(0.1, False), (0.4, False), (0.8, True), (0.9, True)]) == (pytest.approx(0.6), 0.4, 0.8)
