@@ -50,7 +50,7 @@ def groups(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return out.select("document_id", F.coalesce("group_key", "document_id").alias("group_key"), F.coalesce("size", F.lit(1)).alias("size")), forest
 
 
-def split_groups(group_sizes: DataFrame, targets: list[tuple[str, float]], seed: int = 7, large: float = 0.005, buckets: int = 64) -> DataFrame:
+def split_groups(group_sizes: DataFrame, targets: list[tuple[str, float]], seed: int = 7, large: float = 0.005) -> DataFrame:
     """(group_key, size, band, split_name): a split for each group, whole groups only.
 
     ``group_sizes(group_key, size)`` are stratified into bands by powers of two of the size.
@@ -65,7 +65,9 @@ def split_groups(group_sizes: DataFrame, targets: list[tuple[str, float]], seed:
     whole = sum(s for _, s in shares) or 1.0
     shares = sorted(((n, s / whole) for n, s in shares), key=lambda x: (-x[1], str(x[0])))
     spark = group_sizes.sparkSession
-    total = group_sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    total, n = group_sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    # A task numbers a bucket of a band; their counts, one row a bucket, are few beside the groups.
+    buckets = max(64, n // 100_000)
     cut = max(1.0, total * large)
     big = group_sizes.filter(F.col("size") > cut).orderBy(F.desc("size"), "group_key").collect()
     room = {n: s * total for n, s in shares}

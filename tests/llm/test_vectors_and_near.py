@@ -131,3 +131,31 @@ def test_recall_of_runs_does_not_fall_with_the_size():
     for records in (10, 10**5, 10**7, 10**9):
         length = N.run_length(records)
         assert 1 - (1 - 0.7**length) ** N.runs_for(length, 0.7) >= 0.999
+
+
+def test_links_where_all_words_are_common(spark):
+    """A vocabulary so small that every word stands in most texts."""
+    rng = random.Random(12)
+    words = [f"c{i}" for i in range(48)]
+    texts = [rng.sample(words, 36) for _ in range(250)]
+    for t in texts[:100]:
+        e = list(t)
+        for k in rng.sample(range(36), rng.randint(1, 4)):
+            e[k] = rng.choice(words)
+        texts.append(e)
+    got, want = found_and_wanted(spark, texts)
+    assert got <= want and len(want) > 500 and len(got) >= 0.95 * len(want)
+
+
+def test_waves_hold_every_tree_once():
+    for trees in (1, 8, 9, 11, 49, 98):
+        waves = V.waves_for(trees)
+        assert [t for first, n in waves for t in range(first, first + n)] == list(range(trees)) and max(n for _, n in waves) <= V.WAVE
+
+
+def test_work_grows_with_the_logarithm_of_the_rows():
+    for rows in (10**5, 10**7, 10**9):
+        depth = V.depth_for(rows)
+        assert rows / 2**depth <= 4 * V.LEAF
+        trees = V.trees_for(depth, 0.88, 0.99)
+        assert 1 - (1 - (1 - np.arccos(0.88) / np.pi) ** depth) ** trees >= 0.99
