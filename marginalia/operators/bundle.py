@@ -172,12 +172,20 @@ def resolve_cached(found: DataFrame, cache: DataFrame, t: Tables, options: Optio
         return resolved(found, t, s, options.related), cache
     kept = cache.limit(0) if options.force_refresh else cache
     hit = found.join(kept, "keyword_id").withColumn("explanation", explanation(F.col("terms"), F.col("matched_keyword"), F.col("exact"), F.coalesce("primary_title", F.lit("")), F.col("related_title")))
+    # One computation per result; the cache is another version of the table.
     miss = persist_table(resolved(found.join(kept.select("keyword_id"), "keyword_id", "left_anti"), t, s), "resolved")
     columns = miss.columns
     fresh = miss.dropDuplicates(["keyword_id"]).select(*cache.columns)
     return hit.select(*columns).unionByName(miss), persist_table(upsert(cache, fresh, ["keyword_id"]), "cache")
 
 
+def refresh_cache(cache: DataFrame, papers: DataFrame, t: Tables, s: Settings = DEFAULTS) -> DataFrame:
+    """The cache after papers(paper_id) came in: the results of all keywords they are linked to computed again, others kept."""
+    touched = t.links.join(papers.select("paper_id").distinct(), "paper_id", "left_semi").select("keyword_id").distinct()
+    forms = t.keywords.join(touched, "keyword_id", "left_semi").select(F.col("keyword_id").alias("query_id"), "keyword_id", F.lit(True).alias("exact"), F.array("display_form").alias("terms"))
+    return resolve_cached(forms, cache, t, Options(force_refresh=True), s)[1]
+
+
 CACHE_COLUMNS = ("keyword_id", "matched_keyword", "primary_id", "primary_title", "score", "reason", "primary_relevance", "related_id", "related_title", "relation_score", "related_relevance")
 
 
@@ -300,6 +308,15 @@ def q_resolve_cached(spark, d):
     return results.join(after.select("keyword_id", F.lit(True).alias("cached")), "keyword_id").select("keyword_id", "primary_id", "related_id", "cached")
 
 
+def q_cache_refreshed(spark, d):
+    """A cache of stale results of all linked keywords after the papers of the newest year came in."""
+    t = _half(spark, d)
+    stale = resolved(_found(spark, d), t).select(*CACHE_COLUMNS).withColumn("primary_title", F.lit("stale"))
+    newest = t.papers.agg(F.max("published_year").alias("published_year"))
+    after = refresh_cache(persist_table(stale, "stale"), t.papers.join(newest, "published_year"), t)
+    return after.select("keyword_id", "primary_id", (F.col("primary_title") == "stale").alias("stale"))
+
+
 def q_suggest(spark, d):
     """Suggestions for every summary by the vector of its first keyword that is stored."""
     t = _half(spark, d)
@@ -342,7 +359,7 @@ def q_sheet_sections(spark, d):
 
 
 QUERIES = {
-    "explanation_reason": q_reasons, "explanation": q_explanations, "resolve_cached": q_resolve_cached, "suggest": q_suggest, "order_paragraphs": q_ordered_paragraphs, "order_tables": q_ordered_tables,
+    "explanation_reason": q_reasons, "explanation": q_explanations, "resolve_cached": q_resolve_cached, "cache_refreshed": q_cache_refreshed, "suggest": q_suggest, "order_paragraphs": q_ordered_paragraphs, "order_tables": q_ordered_tables,
     "section_choice": q_section_choice, "sheet_info": q_sheet_info, "sheet_sections": q_sheet_sections,
 }
 
@@ -352,6 +369,7 @@ SQL = {
     "explanation": f"""with {R._PRIMARY}, {_REL} select prim.keyword_id, prim.paper_id as primary_id, peer as related_id, '질의에서 ' || display_form || ' 키워드를 추출했고 저장 키워드 ''' || display_form || '''와 정확히 일치했습니다. 점수 근거에 따라 ''' || coalesce(p.title, '') || '''을 대표 논문으로 선택했습니다.' || case when q.title is null then '' else ' 연관 논문으로 ''' || q.title || '''도 함께 제공합니다.' end as explanation
 from prim join keywords using (keyword_id) join papers p on p.paper_id = prim.paper_id left join top on top.paper_id = prim.paper_id left join papers q on q.paper_id = peer""",
     "resolve_cached": f"with {R._PRIMARY}, {_REL} select prim.keyword_id, prim.paper_id as primary_id, peer as related_id, true as cached from prim left join top on top.paper_id = prim.paper_id",
+    "cache_refreshed": f"with {R._PRIMARY} select prim.keyword_id, prim.paper_id as primary_id, prim.keyword_id not in (select keyword_id from paper_keywords join papers using (paper_id) where published_year = (select max(published_year) from papers)) as stale from prim",
     "suggest": f"""with {R._KW}, s as (select summary_id as query_id, {R._N.format('x')} as term from (select summary_id, unnest(keywords) as x from paper_summaries) where x is not null), v as (select * from k where len(embedding) = 64 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 q as (select query_id, arg_min(embedding, keyword_id) as q from s join v using (term) where term <> '' group by 1),
 c as (select query_id, v.keyword_id, round({R._COS.format('q.q', 'v.embedding')}, 9) as c from q join v on v.keyword_id in (select keyword_id from paper_keywords)),

@@ -12,15 +12,14 @@ from marginalia.functions import text as T
 from marginalia.sources.files import latest, upsert
 from marginalia.storage import load
 
+from .grouped import numbered
+
 CHILDREN = ("paragraphs", "paper_tables", "paper_keywords", "paper_summaries")
 
 
-def with_ids(new: DataFrame, order: list[str], start: int, name: str, buckets: int = 64) -> DataFrame:
-    """``new`` with ids after ``start`` in order of bucket and ``order``; no task numbers all rows."""
-    b = new.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    off = b.groupBy("_b").agg(F.count("*").alias("m")).withColumn("_s", F.sum("m").over(Window.partitionBy(F.lit(1)).orderBy("_b")) - F.col("m")).drop("m")
-    b = b.join(F.broadcast(off), "_b")  # one row per bucket
-    return b.withColumn(name, F.lit(start) + F.col("_s") + F.row_number().over(Window.partitionBy("_b").orderBy(*order))).drop("_b", "_s")
+def with_ids(new: DataFrame, order: list[str], start: int, name: str) -> DataFrame:
+    """``new`` with ids after ``start`` in ``order``; a task numbers a range of the rows only."""
+    return numbered(new, [], order, name, start)
 
 
 def save_papers(papers: DataFrame, new: DataFrame) -> DataFrame:

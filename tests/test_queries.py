@@ -48,8 +48,17 @@ def test_flagship(spark, data):
 
 
 def test_session_state_expires(spark, data):
+    """Sessions that ended hold a user's events in order: as many as there are at most, opened with the user's first."""
     out = events.run_to_end(events.expiring_state(events.read_stream(spark, data)), "append")
-    assert out.columns[:3] == ["user_id", "opened", "n"] and out.count() > 0
+    rows = out.collect()
+    assert out.columns[:3] == ["user_id", "opened", "n"] and rows
+    log = {r.user_id: (r.n, r.first) for r in spark.read.parquet(f"{data}/events.parquet").selectExpr("user_id", "unix_millis(cast(ts as timestamp)) as t").groupBy("user_id").agg({"*": "count", "t": "min"}).withColumnsRenamed({"count(1)": "n", "min(t)": "first"}).collect()}
+    per = {}
+    for r in rows:
+        per.setdefault(r.user_id, []).append((r.opened, r.n))
+    for user, seen in per.items():
+        n, first = log[user]
+        assert sum(k for _, k in seen) <= n and min(seen)[0] == first and len({o for o, _ in seen}) == len(seen)
 
 
 def test_filters_and_columns_reach_the_scan(spark, data):
