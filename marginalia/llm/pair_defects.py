@@ -9,6 +9,7 @@ posterior.  A pair keeps every label whose posterior reaches the defect's cutoff
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from functools import reduce
@@ -80,20 +81,49 @@ def language(words: set[str], lists: dict[str, frozenset]) -> str | None:
     return name if best >= (1 if len(words) <= 8 and not other else 2) and best > other + (other > 1) else None
 
 
+@functools.cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Number of the script (from 1 on), and whether it is a letter or mark, of every character of the basic plane."""
+    plane = "".join(chr(i) if not 0xD800 <= i < 0xE000 else " " for i in range(0x10000))
+    kind, letter = np.zeros(0x10000, "u1"), np.zeros(0x10000, bool)
+    for k, (_, _, pattern) in enumerate(_SCRIPTS, 1):
+        kind[[m.start() for m in pattern.finditer(plane)]] = k
+    letter[[m.start() for m in regex.finditer(r"[\p{L}\p{M}]", plane)]] = True
+    return kind, letter
+
+
+def _characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all texts in a row, length of each)."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "u4"), np.array([len(t) for t in texts], "i8")
+
+
+def _sums(values: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sum of the values of each text."""
+    total = np.concatenate([[0], np.cumsum(values, dtype="f8" if values.dtype.kind == "f" else "i8")])
+    end = np.cumsum(size)
+    return total[end] - total[end - size]
+
+
+def scripts(texts: list[str]) -> list[str | None]:
+    """The script of most of each text, names in Latin letters counting less than syllables, and kana more than the Han they stand among; None if there are few letters."""
+    code, size = _characters(texts)
+    kind = _tables()[0][np.minimum(code, 0xFFFF)]
+    kind[(code >= 0x20000) & (code < 0x40000)] = 1 + [n for n, _, _ in _SCRIPTS].index("han")
+    n = np.stack([w * _sums(kind == k, size) for k, (_, w, _) in enumerate(_SCRIPTS, 1)])
+    return [_SCRIPTS[k][0] if n[k, i] >= 8 else None for i, k in enumerate(n.argmax(axis=0))]
+
+
 def script(text: str) -> str | None:
-    """The script of most of the text, names in Latin letters counting less than syllables, and kana more than the Han they stand among; None if there are few letters."""
-    n = {k: w * len(p.findall(text)) for k, w, p in _SCRIPTS}
-    k = max(n, key=n.get)
-    return k if n[k] >= 8 else None
+    return scripts([text])[0]
 
 
-def vote(prompt: str, answer: str | None) -> tuple[tuple[int, ...], ...]:
-    """Votes of the labelling functions, by defect: 1 yes, 0 no, -1 nothing."""
+def vote(prompt: str, answer: str | None, known: tuple[str | None, str | None] | None = None) -> tuple[tuple[int, ...], ...]:
+    """Votes of the labelling functions, by defect: 1 yes, 0 no, -1 nothing; ``known`` are the scripts of both texts."""
     a = (answer or "").strip()
     p_words, a_words = _WORD.findall(prompt.lower()), _WORD.findall(a.lower())
     ps, as_ = set(p_words), set(a_words)
     bare = _BARE.sub("", a.lower())
-    p_script, a_script = script(prompt), script(a)
+    p_script, a_script = known or (script(prompt), script(a))
     told = len(a) > 20 or a_script in ("hangul", "han", "kana") and len(a) > 8
 
     def said(yes: bool, no: int = 0) -> int:
@@ -134,27 +164,41 @@ FUNCTIONS = dict(zip(DEFECTS, (3, 4, 3, 4, 4)))
 BUCKETS, LEAST_LETTERS, AWAY = 1 << 15, 24, 8.0
 
 
+def languages(texts: list[str], known: list[str | None] | None = None) -> list[str | None]:
+    """A name for the language each prompt seems to be in: that of its function words, in scripts other than Latin the script."""
+    out = []
+    for text, s in zip(texts, known or scripts(texts)):
+        if s == "latin":
+            words = set(_WORD.findall(text.lower()))
+            both = {x for x in (language(words, lists) for lists in _SETS) if x}
+            s = both.pop() if len(both) == 1 else None
+        out.append(s)
+    return out
+
+
 def language_of(text: str) -> str | None:
-    """A name for the language a prompt seems to be in: that of its function words, in scripts other than Latin the script."""
-    s = script(text)
-    if s != "latin":
-        return s
-    words = set(_WORD.findall(text.lower()))
-    both = [language(words, lists) for lists in _SETS]
-    return next((x for x in both if x), None) if len({x for x in both if x}) <= 1 else None
+    return languages([text])[0]
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(buckets of the character trigrams of all texts, how many each text has): letters and single blanks in lower case."""
-    flat = [" " + " ".join(_LETTERS_ONLY.findall(t.lower())) + " " for t in texts]
-    code = np.frombuffer("".join(flat).encode("utf-32-le"), "u4").astype("u8")
-    size = np.array([len(t) for t in flat], "i8")
+    code, size = _characters([" " + t.lower() + " " for t in texts])
     if not len(code):
+        return np.zeros(0, "i8"), size
+    code = np.where((code > 0xFFFF) | _tables()[1][np.minimum(code, 0xFFFF)], code, 32)
+    blank = code == 32
+    kept = np.ones(len(code), bool)
+    kept[1:] = ~(blank[1:] & blank[:-1])
+    first = np.cumsum(size) - size
+    kept[first] = True  # each text begins with a blank of its own
+    size = _sums(kept, size)
+    code = code[kept].astype("u8")
+    if len(code) < 3:
         return np.zeros(0, "i8"), np.maximum(size - 2, 0)
     h = ((code[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ code[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) ^ code[2:]) * np.uint64(0x165667B19E3779F9)
     inside = np.ones(len(code), bool)
     ends = np.cumsum(size)
-    inside[ends - 1] = inside[ends - 2] = False
+    inside[ends - 1] = inside[np.maximum(ends - 2, 0)] = False
     return (h >> np.uint64(40)).astype("i8")[inside[:-2]] % BUCKETS, np.maximum(size - 2, 0)
 
 
@@ -163,8 +207,8 @@ def _gram_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
         by: dict[str, list[str]] = {}
-        for p in batch.column(0).to_pylist():
-            name = language_of(p) if p else None
+        prompts = [p for p in batch.column(0).to_pylist() if p]
+        for p, name in zip(prompts, languages(prompts)):
             if name:
                 by.setdefault(name, []).append(p)
         for name, texts in by.items():
@@ -190,16 +234,10 @@ def _voter(models: dict[str, np.ndarray]):
     names = list(models)
     table = np.stack([models[k] for k in names]) if names else np.zeros((0, BUCKETS), "f4")
 
-    def scores(prompts: list[str], answers: list[str]) -> tuple[list[str | None], np.ndarray, np.ndarray, np.ndarray]:
+    def scores(own: list[str | None], answers: list[str]) -> tuple[list[str | None], np.ndarray, np.ndarray, np.ndarray]:
         """Name of each prompt's language, mean log probability of its answer's trigrams in it and in the best language, number of trigrams."""
-        own = [language_of(p) for p in prompts]
         gram, n = trigrams(answers)
-        mean = np.zeros((len(names), len(answers)))
-        some = np.flatnonzero(n)
-        if len(some) and len(names):
-            starts = np.cumsum(n) - n
-            for i in range(len(names)):
-                mean[i, some] = np.add.reduceat(table[i][gram].astype("f8"), starts[some])[: len(some)] / n[some]
+        mean = np.stack([_sums(t[gram], n) for t in table]) / np.maximum(n, 1) if len(names) else np.zeros((0, len(answers)))
         at = np.array([names.index(x) if x in models else -1 for x in own], int)
         fine = at >= 0
         mine = np.full(len(answers), np.nan)
@@ -208,15 +246,12 @@ def _voter(models: dict[str, np.ndarray]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, ids, codes, prompts, answers = [], [], [], [], []
-            for kind, i, prompt, answer in zip(*(c.to_pylist() for c in batch.columns)):
-                if prompt and prompt.strip():
-                    kinds.append(kind)
-                    ids.append(i)
-                    codes.append([encode(v) for v in vote(prompt, answer)])
-                    prompts.append(prompt)
-                    answers.append(answer or "")
-            own, mine, best, n = scores(prompts, answers)
+            rows = [r for r in zip(*(c.to_pylist() for c in batch.columns)) if r[2] and r[2].strip()]
+            kinds, ids, prompts = [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
+            answers = [r[3] or "" for r in rows]
+            p_scripts, a_scripts = scripts(prompts), scripts([a.strip() for a in answers])
+            codes = [[encode(v) for v in vote(p, a, k)] for p, a, k in zip(prompts, answers, zip(p_scripts, a_scripts))]
+            own, mine, best, n = scores(languages(prompts, p_scripts), answers)
             cols = [pa.array(list(c), pa.int32()) for c in (zip(*codes) if codes else [()] * len(DEFECTS))]
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(ids, pa.int64()), *cols, pa.array(own, pa.string()), pa.array(mine, pa.float64(), from_pandas=True), pa.array(best, pa.float64(), from_pandas=True), pa.array(n, pa.int64())], ["kind", "rec_id", *DEFECTS, "own", "mine", "best", "grams"])
 
