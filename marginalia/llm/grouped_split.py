@@ -124,8 +124,8 @@ def p3_balance(spark, sf_dir: str) -> DataFrame:
     total = s.count()
     widest = s.groupBy("group_key").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     have = s.groupBy("split_name").agg(F.count("*").alias("n"))
-    t = load(spark, sf_dir, "split_targets").join(have, "split_name", "left").fillna(0, ["n"])
-    return t.select("split_name", (F.abs(F.col("n") - F.col("share") * total) <= 0.05 * total + widest).alias("near"))
+    t = load(spark, sf_dir, "split_targets").select("split_name", "share").filter("split_name is not null").groupBy("split_name").agg(F.max("share").alias("share")).join(have, "split_name", "left").fillna(0, ["n"])
+    return t.select("split_name", (F.abs(F.col("n") - F.coalesce("share", F.lit(0.0)) * total) <= 0.05 * total + widest).alias("near"))
 
 
 def p3_forest(spark, sf_dir: str) -> DataFrame:
