@@ -80,6 +80,30 @@ def q_lookup(spark, d):
     return S.lookup_source(f, m)
 
 
+def q_jsonl(spark, d):
+    """Papers written as JSON lines and read again as objects of a schema."""
+    p = load(spark, d, "papers").filter("paper_id is not null").select("paper_id", "title", "published_year")
+    path = new_path(spark, "lines")
+    p.write.json(path)
+    return S.jsonl(spark, path, p.schema)
+
+
+def q_scan_manifest(spark, d):
+    """A manifest with an older record of every source beside the last one."""
+    p = load(spark, d, "papers").filter("paper_id is not null").select(F.concat(F.lit("W"), "paper_id").alias("source_id"), T.collapse(F.col("title")).alias("title"), F.col("paper_id").alias("byte_size"))
+    path = new_path(spark, "manifest")
+    p.withColumn("retrieved_at", F.lit("2024-02-01")).unionByName(p.withColumn("title", F.lit("older")).withColumn("retrieved_at", F.lit("2024-01-01"))).write.json(path)
+    return S.manifest(spark, path).select("source_id", "title", "byte_size")
+
+
+def q_classify(spark, d):
+    """Review documents by the pages on which a block has text."""
+    r = load(spark, d, "review_documents")
+    pages = r.select("document_id", F.explode("pages.page").alias("page"))
+    text = r.select("document_id", F.explode("blocks").alias("b")).filter(T.strip(F.col("b.ocr_text")) != "").select("document_id", F.col("b.page").alias("page"), F.lit(True).alias("has_text")).distinct()
+    return S.classify_pdf(r, pages.join(text, ["document_id", "page"], "left"))
+
+
 def q_hash_vector(spark, d):
     """The default embedding of each keyword: its first value before scaling is that of SHA-256."""
     k = load(spark, d, "keywords").select("keyword_id", V.hash_vector(F.coalesce("keyword", F.lit("")), 8).alias("v"))
@@ -92,7 +116,7 @@ def q_author_keywords(spark, d):
     return s.select("summary_id", F.size(T.keyword_list(F.col("line"))).alias("n"))
 
 
-QUERIES = {"filter_size": q_sizes, "smoke_set": q_smoke_set, "backfill_reviews": q_backfill, "apply_migrations": q_migrations, "scan_openalex": q_candidates, "scan_openalex_ids": q_collected_ids, "manifest_upsert": q_manifest, "join_manifest_meta": q_lookup, "hash_vector": q_hash_vector, "extract_author_keywords": q_author_keywords}
+QUERIES = {"scan_jsonl": q_jsonl, "scan_manifest": q_scan_manifest, "classify_pdf": q_classify, "filter_size": q_sizes, "smoke_set": q_smoke_set, "backfill_reviews": q_backfill, "apply_migrations": q_migrations, "scan_openalex": q_candidates, "scan_openalex_ids": q_collected_ids, "manifest_upsert": q_manifest, "join_manifest_meta": q_lookup, "hash_vector": q_hash_vector, "extract_author_keywords": q_author_keywords}
 
 _C = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 _OK = f"select 'W' || paper_id as source_id, '10.9/P' || paper_id as doi, {_C.format('title')} as title, published_year as publication_year, case paper_id % 3 when 0 then 'cc-by' else 'cc0' end as license, len(list_filter(string_split(coalesce(authors, ''), ';'), lambda x: trim(x) <> ''))::int as n_authors from papers where paper_id % 3 <> 1 and paper_id % 11 <> 0 and full_text_link like 'https://%' and trim(title) <> ''"
@@ -106,4 +130,8 @@ SQL = {
     "manifest_upsert": f"select 'W' || paper_id as source_id, case when s then lower({_C.format('title')}) else {_C.format('title')} end as title, case when s then -paper_id else paper_id end as byte_size from (select *, paper_id in (select paper_id from paper_summaries where paper_id is not null) as s from papers)",
     "join_manifest_meta": "with m as (select source_file_path as local_path, min('W' || paper_id) as s from papers where source_file_path is not null group by 1), n as (select string_split(local_path, '/')[-1] as name, min(s) as s from m group by 1), f as (select distinct unnest([source_file_path, replace(source_file_path, '/data/', '/copy/')]) as path from papers where source_file_path is not null) select path, coalesce(m.s, n.s) as source_id from f left join m on m.local_path = path left join n on n.name = string_split(path, '/')[-1]",
     "extract_author_keywords": r"select summary_id, len(list_distinct(list_filter(list_transform(regexp_split_to_array(regexp_replace('Keywords: ' || coalesce(array_to_string(keywords, '; '), ''), '(?i)^\s*keywords?\s*[:]\s*', ''), '[,;•\n]+'), lambda x: trim(regexp_replace(x, '^[\s.]+|[\s.]+$', '', 'g'))), lambda x: x <> '')))::int as n from paper_summaries",
+    "hash_vector": "with r as (select keyword_id, list_transform(range(8), lambda i: ('0x' || substring(sha256(coalesce(keyword, '') || chr(0) || i), 1, 8))::ubigint::double / 4294967296.0 * 2 - 1) as v from keywords) select keyword_id, round(v[1] / sqrt(list_dot_product(v, v)), 5) as first, 1.0::double as norm from r",
+    "scan_jsonl": "select paper_id, title, published_year from papers where paper_id is not null",
+    "scan_manifest": f"select 'W' || paper_id as source_id, {_C.format('title')} as title, paper_id as byte_size from papers where paper_id is not null",
+    "classify_pdf": "with p as (select document_id, unnest(pages) as p from review_documents), b as (select distinct document_id, b.page as page from (select document_id, unnest(blocks) as b from review_documents) where trim(b.ocr_text) <> ''), s as (select p.document_id, avg((b.page is not null)::int) as s from p left join b on b.document_id = p.document_id and b.page = p.p.page group by 1) select document_id, case when s >= 0.8 then 'digital' else 'scanned' end as kind from review_documents left join s using (document_id)",
 }
