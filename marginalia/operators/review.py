@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,6 +147,21 @@ def stage_report(log: DataFrame) -> DataFrame:
     return g.select("stage", F.format_string("| %s | %d | %d |", "stage", "done", "failed").alias("line"))
 
 
+def append_report(runs: DataFrame, log: DataFrame, folder: str, day: str, at: str) -> str:
+    """Append a batch to the day's Markdown report: counts, stages done and failed, and what failed why; returns the path."""
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, f"{day}.md")
+    n, failed = runs.agg(F.count_if(F.col("error").isNull() | F.col("paper_id").isNotNull()), F.count_if(F.col("error").isNotNull() & F.col("paper_id").isNull())).first()
+    bad = runs.filter("error is not null and paper_id is null").orderBy("source").select(F.format_string("| `%s` | %s |", "source", F.translate("error", "|", "/")).alias("line"))
+    with open(path, "a", encoding="utf-8") as f:
+        f.write(("\n" if f.tell() else "") + f"## {at} 배치\n\n- 처리 건수: {n}\n- 실패 건수: {failed}\n\n| 단계 | 성공 | 실패 |\n| --- | ---: | ---: |\n")
+        f.writelines(r.line + "\n" for r in stage_report(log).orderBy("stage").toLocalIterator())
+        if failed:
+            f.write("\n| 파일 | 실패 원인 |\n| --- | --- |\n")
+            f.writelines(r.line + "\n" for r in bad.toLocalIterator())
+    return path
+
+
 # Queries --------------------------------------------------------------------------------------------------
 
 

@@ -333,3 +333,31 @@ def test_dense_numbers_in_order(spark):
     for g in (0, 1):
         mine = [(x, i) for gg, x, i in got if gg == g]
         assert [i for _, i in mine] == list(range(11, 11 + len(mine)))
+
+
+def test_batch_reports_are_appended(spark, tmp_path):
+    runs = spark.createDataFrame([("a.pdf", 1, 3, None), ("b.pdf", None, 0, "bad | file"), ("c.pdf", 2, 0, "late")], "source string, paper_id long, paragraphs int, error string").selectExpr("*", "0 as keywords", "0 as tables", "0 as relations")
+    log = spark.createDataFrame([("parse", "done"), ("parse", "failed"), ("embed", "done"), ("embed", "running")], "stage string, status string")
+    for at in ("10:00", "11:00"):
+        path = V2.append_report(runs, log, str(tmp_path / "r"), "2024-01-01", at)
+    text = open(path, encoding="utf-8").read()
+    assert text.count("- 처리 건수: 2") == 2 and "| embed | 1 | 0 |\n| parse | 1 | 1 |" in text and text.count("| `b.pdf` | bad / file |") == 2
+    lines = [r.line for r in V2.batch_report(runs).collect()]
+    assert lines[0].startswith("source | paper_id | paragraphs") and set(lines[1]) == {"-", "+"} and lines[3].endswith("| failed: bad | file") and lines[4].rstrip().endswith("| failed")
+
+
+def test_evaluation_workbook(spark, data, tmp_path):
+    docs = spark.read.parquet(f"{data}/review_documents.parquet").filter("paper_id is not null")
+    sheets = V2.evaluation_sheets(spark, data, docs, "http://x/")
+    path = str(tmp_path / "e.xlsx")
+    assert V2.write_evaluation(sheets, path) == list(V2.EVALUATION)
+    got = W.read_workbook(path)
+    assert all(got[k][0] == v for k, v in V2.EVALUATION.items()) and len(got["논문요약"]) == docs.count() + 1
+    assert got["논문요약"][1][17] == f"http://x/documents/{got['논문요약'][1][0]}/viewer"
+
+
+def test_review_of_documents(spark, data):
+    docs = spark.read.parquet(f"{data}/review_documents.parquet")
+    rows = facade.review(docs, "all").collect()
+    assert len(rows) == docs.count() and all(" · 미검수 " in r.label for r in rows)
+    assert facade.review(docs.limit(0), "pending").count() == 0
