@@ -25,6 +25,8 @@ from .expand import chunked, pairs_within
 from .forest import spanning_forest
 
 LIST = 256
+#: Long lists up to this number have their keys sent to all tasks.
+BROADCAST_LISTS = 200_000
 #: Share of the pairs at the threshold that meet in a list.
 RECALL = 0.999
 _MULT = 0x9E3779B97F4A7C15
@@ -103,12 +105,17 @@ def _chunks(rows: DataFrame) -> DataFrame:
 def _split(rows: DataFrame) -> DataFrame:
     """The lists with those of more than LIST rows in chunks; every two rows of a list still meet.
 
-    The longest lists, of more than a thousandth of the rows each, are told apart map-side,
-    so that no task gets such a list whole; the others by a shuffle.
+    As long as few lists are long their keys go to all tasks, so no row is moved to find
+    out.  Else only the longest, of more than a thousandth of the rows each, are told
+    apart so, that no task gets such a list whole, and the others by a shuffle.
     """
     long = persist_table(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > LIST), "p6-long")
-    if long.isEmpty():
+    many = long.count()
+    if not many:
         return rows
+    if many <= BROADCAST_LISTS:
+        marked = rows.join(F.broadcast(long), "key", "left")
+        return marked.filter("n is null").drop("n").unionByName(_chunks(marked.filter("n is not null")))
     hot = hot_keys(long, "n", long.agg(F.sum("n")).first()[0])
     rest = rows.join(F.broadcast(hot.select("key")), "key", "left_anti")
     cold = long.join(F.broadcast(hot.select("key")), "key", "left_anti")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from marginalia.llm import near_duplicates as N
 from marginalia.llm import vector_forest as V
@@ -99,8 +100,10 @@ def found_and_wanted(spark, texts):
     return {(r.a, r.b) for r in links.collect()}, want
 
 
-def test_long_lists_of_different_edits_are_compared_whole(spark, monkeypatch):
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_long_lists_of_different_edits_are_compared_whole(spark, monkeypatch, sent):
     monkeypatch.setattr(N, "LIST", 16)
+    monkeypatch.setattr(N, "BROADCAST_LISTS", sent)
     got, want = found_and_wanted(spark, hot_group(random.Random(9), 300, 600))
     assert got <= want and len(got) >= 0.85 * len(want)
 
