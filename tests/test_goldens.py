@@ -84,6 +84,15 @@ def test_full_width_first_line_is_no_heading():
     assert Y.split_headings(page, lines) == page
 
 
+def test_headers_and_abstracts_without_lines_stay():
+    lines = [(70.0, 90.0, 210.0, 110.0), (70.0, 130.0, 510.0, 150.0), (70.0, 160.0, 500.0, 180.0)]
+    page = [box("section_header", 60, 380, 520, 420), box("abstract", 60, 500, 520, 700), box("abstract", 0, 0, 0, 0) | {"bbox": None}]
+    assert Y.split_headings(page, lines) == page and Y.split_headings(page, []) == page
+    # A block without an order is taken apart like any other.
+    out = Y.split_headings([*page, box("section_header", 60, 80, 520, 220, order=None)], lines)
+    assert out[:3] == page and [(b["block_type"], b["bbox"]) for b in out[3:]] == [("section_header", lines[0]), ("text", (70, 130, 510, 180))]
+
+
 def test_inline_abstract():
     lines = [(82.0, 105.0, 498.0, 125.0), (82.0, 135.0, 495.0, 155.0), (82.0, 165.0, 490.0, 185.0)]
     page = [box("abstract", 80, 100, 500, 220)]
