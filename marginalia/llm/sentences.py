@@ -9,7 +9,8 @@ have none.  The model has the probability of the event given the word before the
 of what follows given the event, and that of the distance between neighbouring gaps given
 both events.  It is trained on the whole corpus by expectation maximisation, started from
 the gaps that are certain (ends of paragraphs, inner punctuation); forward-backward
-posteriors decide.
+posteriors decide.  The counts stay in tables, a row per word; a round brings to the driver
+only sums by the kind of what follows, so nothing is left out however many words there are.
 
 Stretches without any mark that are longer than sentences are have a hidden event between
 any two words, or any two characters in scripts without spaces.  An n-gram model over words
@@ -21,8 +22,10 @@ forward-backward posteriors decide again.
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from hashlib import blake2b
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +35,11 @@ from pyspark.sql import functions as F
 
 from marginalia.storage import load, persist_table
 
-#: Words before a gap, and words after one, that the model tells apart; rarer ones count by their shape, so no gap is left out.
-MAX_CONTEXTS = 20_000
-#: Combinations of both that it tells apart; in rarer ones the word after counts as a rare one.
-MAX_PAIRS = 400_000
+#: Occurrences from which the model tells a word before a gap, or one after it, apart; rarer ones count by their shape, so no gap is left out.
+LEAST = 3
 ROUNDS = 8
+#: Chances are summed up as whole numbers of this part, so sums do not depend on their order.
+UNIT = 1 << 24
 CUTOFF = 0.5
 #: Log odds of a word before a gap, and of what follows, are kept within these.
 SURE, SWAY = 5.0, 2.5
@@ -254,91 +257,231 @@ def _observer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def group(follow: str) -> str:
+    """Words in scripts with and without case are told apart before they are compared."""
+    return "letter" if follow.endswith("\tletter") else "thai" if follow.endswith(("\tthai", "\tword")) else "cased"
+
+
+class Priors:
+    """Log odds of a boundary by the word before a gap alone.
+
+    A word that ends sentences also ends paragraphs, at a rate that long words show; an
+    abbreviation never does.  The counts decide between the two for each word before a gap.
+    ``common`` has (name, all gaps, those that end a paragraph) of shapes and long words, a few.
+    """
+
+    def __init__(self, common: Iterable[tuple[str, int, int]]):
+        common = list(common)
+        long = [x for x in common if x[0].startswith(("<long>", "<word>"))]
+        rate = (sum(sure for _, _, sure in long) + 1) / (sum(every for _, every, _ in long) + 10) / 3
+        self.gain, self.loss = math.log(rate / 0.002) if rate > 0.002 else 0.0, min(0.0, math.log((1 - rate) / (1 - 0.002)))
+        self.shapes: dict[str, float] = {}
+        for start in ("<word>", "<short>"):  # short words fall back on all
+            for name, every, sure in common:
+                if name.startswith(start):
+                    self.shapes[name] = self.of(name, every, sure)
+
+    def of(self, name: str, every: int, sure: int) -> float:
+        odds = self.shapes.get(shape(name), 1.5) / 2 + sure * self.gain + (every - sure) * self.loss
+        return 0.0 if name.endswith("+") else max(-SURE, min(SURE, odds))
+
+    def table(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """name, every, sure -> name, key, prior."""
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+            prior = [self.shapes[r[0]] if r[0] in self.shapes else self.of(*r) for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([key_of(r[0]) for r in rows], pa.int64()), pa.array(prior, pa.float64())], ["name", "key", "prior"])
+
+
+def key_of(name: str) -> int:
+    return int.from_bytes(blake2b(name.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+class Scores:
+    """Log odds by name in 16 bytes each: names are kept as 64 bits of their hashes."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.lexsort((values, keys))
+        self.keys, self.values = keys[order], values[order]
+
+    def get(self, name: str) -> float | None:
+        key = key_of(name)
+        i = int(self.keys.searchsorted(key))
+        return float(self.values[i]) if i < len(self.keys) and self.keys[i] == key else None
+
+
+class Follows:
+    """Log odds of what follows a gap by its kind, from (on, off) of each kind: chances with and without a boundary, in UNITs."""
+
+    def __init__(self, sums: dict[str, tuple[int, int]]):
+        every = defaultdict(lambda: [0, 0])
+        for f, (on, off) in sums.items():
+            every[group(f)][0] += on
+            every[group(f)][1] += off
+        # Once for the kind and once for the word.
+        self.every = {g: 2 * (math.log(off / UNIT + 1) - math.log(on / UNIT + 1)) for g, (on, off) in every.items()}
+        self.kinds = {f: math.log(on / UNIT + 0.5) - math.log(off / UNIT + 0.5) + self.every[group(f)] for f, (on, off) in sums.items()}
+
+    def get(self, follow: str) -> float:
+        x = self.kinds.get(follow)
+        return self.every.get(group(follow), 0.0) if x is None else x
+
+
+_CELLS = "array<struct<follow:string,plus:boolean,prior:double,event:int,n:bigint>>"
+_GUESS = {"upper": 0.8, "lower": 0.1, "digit": 0.2, "letter": 0.8}
+
+
+def _chances(cells: pa.ListArray, before: list[Follows]):
+    """Chances of each cell of each word after the rounds ``before``: (start of each word, kinds, kind of each cell, on, off), in UNITs.
+
+    What a word says depends on its own cells and on the sums by kind alone, so a round can
+    be followed word by word from the first one on.
+    """
+    sizes = cells.value_lengths().to_numpy()
+    follow, plus, prior, event, n = cells.flatten().flatten()
+    follow = follow.dictionary_encode()
+    kinds, kind = follow.dictionary.to_pylist(), follow.indices.to_numpy()
+    plus, prior, event, n = (x.to_numpy(zero_copy_only=False) for x in (plus, prior, event, n))
+    starts, word, most = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes), np.where(plus, SURE, SWAY)
+    guess = np.array([_GUESS.get(k.split("\t")[1], 0.5) for k in kinds])
+    p = np.where(plus, 0.1, guess[kind] / (1 + np.exp(-prior)))
+
+    def parts():
+        on = np.rint(np.where(event >= 0, event, p) * UNIT).astype("i8") * n
+        return on, n * UNIT - on
+
+    for follows in before:
+        # What follows weighs most where the text goes on after a quotation without a blank.
+        x = np.array([follows.get(k) for k in kinds])[kind] + _word_odds(starts, *parts())[word]
+        p = 1 / (1 + np.exp(-prior - np.clip(x, -most, most)))
+    return starts, kinds, kind, *parts()
+
+
+def _word_odds(starts: np.ndarray, on: np.ndarray, off: np.ndarray) -> np.ndarray:
+    return np.log(np.add.reduceat(on, starts) / UNIT + 0.5) - np.log(np.add.reduceat(off, starts) / UNIT + 0.5)
+
+
+def _sums(before: list[Follows]):
+    """word, cells -> kind of what follows, on, off."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = defaultdict(lambda: [0, 0])
+        for batch in batches:
+            if batch.num_rows:
+                _, kinds, kind, *parts = _chances(batch.column(1), before)
+                for i, part in enumerate(parts):
+                    total = np.zeros(len(kinds), "i8")
+                    np.add.at(total, kind, part)
+                    for k, x in zip(kinds, total.tolist()):
+                        sums[k][i] += x
+        if sums:
+            on, off = zip(*sums.values())
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(on, pa.int64()), pa.array(off, pa.int64())], ["follow", "on", "off"])
+
+    return run
+
+
+def _words(before: list[Follows]):
+    """word, cells -> key, log odds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                starts, _, _, on, off = _chances(batch.column(1), before)
+                yield pa.RecordBatch.from_arrays([pa.array([key_of(w) for w in batch.column(0).to_pylist()], pa.int64()), pa.array(_word_odds(starts, on, off))], ["key", "odds"])
+
+    return run
+
+
+class Estimates(NamedTuple):
+    """Log odds by the word before a gap and its shapes, by the word after it, and by the kind of what follows."""
+
+    before: Scores
+    words: Scores
+    follows: Follows
+
+
+def _rounds(sums: Callable[[list[Follows]], dict[str, tuple[int, int]]]) -> list[Follows]:
+    """Expectation maximisation; ``sums`` gives the sums by kind after the rounds so far."""
+    done: list[Follows] = []
+    for _ in range(ROUNDS):
+        done.append(Follows(sums(done)))
+    return done
+
+
+def _estimates_here(rows: list[tuple[str, str, int, int]]) -> Estimates:
+    """:func:`_estimates` of counts in memory."""
+    befores, words = Counter(), Counter()
+    for b, w, _, n in rows:
+        befores[b] += n
+        words[w.rsplit("\t", 1)[1]] += n
+    table: Counter = Counter()
+    for b, w, e, n in rows:
+        follow, word = w.rsplit("\t", 1)
+        # A word that follows the same word once or twice counts as a rare one; the word before keeps its counts.
+        kept = words[word] >= LEAST and (n >= LEAST or not word)
+        table[b if befores[b] >= LEAST else shape(b), follow, word if kept else "<rare>", e] += n
+    every, sure = Counter(), Counter()
+    for k, n in table.items():
+        for name in (k[0], shape(k[0])):
+            every[name] += n
+            sure[name] += n * (k[3] == 1)
+    counts = [(name, n, sure[name]) for name, n in every.items()]
+    priors = Priors(x for x in counts if x[0].startswith(_COMMON))
+    prior = {name: priors.shapes[name] if name in priors.shapes else priors.of(name, n, s) for name, n, s in counts}
+    cells: Counter = Counter()
+    for (b, follow, word, e), n in table.items():
+        cells[word, follow, b.endswith("+"), prior[b], e] += n
+    by = defaultdict(list)
+    for (word, *cell), n in cells.items():
+        by[word].append(dict(zip(("follow", "plus", "prior", "event", "n"), (*cell, n))))
+    kind = pa.list_(pa.struct([("follow", pa.string()), ("plus", pa.bool_()), ("prior", pa.float64()), ("event", pa.int32()), ("n", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(list(by), pa.string()), pa.array(list(by.values()), kind)], ["word", "cells"])
+    done = _rounds(lambda before: {f: (on, off) for b in _sums(before)(iter([batch])) for f, on, off in zip(*(c.to_pylist() for c in b.columns))})
+    odds = [(k, x) for b in _words(done[:-1])(iter([batch])) for k, x in zip(*(c.to_pylist() for c in b.columns))]
+    scores = lambda pairs: Scores(np.array([k for k, _ in pairs], "i8"), np.array([x for _, x in pairs], "f8"))
+    return Estimates(scores([(key_of(name), x) for name, x in prior.items()]), scores(odds), done[-1])
+
+
 class Model:
-    """Probabilities of the hidden events at marks; its tables are bounded by MAX_CONTEXTS and MAX_PAIRS.
+    """Probabilities of the hidden events at marks.
 
-    ``rows`` are (before, what, event, n), rare contexts folded into their shapes or not.
+    ``rows`` are (before, what, event, n); where ``estimates`` are given, only those of distances and unmarked stretches.
     """
 
-    def __init__(self, rows: list[tuple[str, str, int, int]]):
+    def __init__(self, rows: list[tuple[str, str, int, int]], estimates: Estimates | None = None):
         dist = [(w, e, n) for b, w, e, n in rows if b == "<distance>"]
         self.memo: dict[tuple[str, str], float] = {}
         self.unmarked = sum(n for b, _, _, n in rows if b == "<unmarked>")
-        rows = [r for r in rows if r[0] not in ("<distance>", "<unmarked>")]
         self.far = {}
         for prev in (0, 1):
             for event in (0, 1):
-                got = Counter({w.split("\t")[0]: n for w, e, n in dist if e == event and w.endswith(f"\t{prev}")})
+                got = Counter()
+                for w, e, n in dist:
+                    if e == event and w.endswith(f"\t{prev}"):
+                        got[w.split("\t")[0]] += n
                 total = sum(got.values()) + 4
                 self.far[prev, event] = [0.8 * (got[str(d)] + 1) / total + 0.05 for d in range(4)] + [0.25]  # without blanks the distance says nothing
-        befores, words = Counter(), Counter()
-        for b, w, _, n in rows:
-            befores[b] += n
-            words[w.rsplit("\t", 1)[1]] += n
-        self.known = {b for b, n in befores.most_common(MAX_CONTEXTS) if n >= 3}
-        self.words = {w for w, n in words.most_common(MAX_CONTEXTS) if n >= 3}
-        table: Counter = Counter()
-        for b, w, e, n in rows:
-            table[self.context(b), *self.follow(w), e] += n
-        # A word that ends sentences also ends paragraphs, at a rate that long words show; an
-        # abbreviation never does.  The counts decide between the two for each word before a gap.
-        every, sure = Counter(), Counter()
-        for k, n in table.items():
-            for name in (k[0], shape(k[0])):
-                every[name] += n
-                sure[name] += n * (k[3] == 1)
-        long = [b for b in every if b.startswith(("<long>", "<word>"))]
-        rate = (sum(sure[b] for b in long) + 1) / (sum(every[b] for b in long) + 10) / 3
-        gain, loss = math.log(rate / 0.002) if rate > 0.002 else 0.0, math.log((1 - rate) / (1 - 0.002))
-        self.prior = {}
-        shapes = {shape(k[0]) for k in table}
-        for name in sorted(every, key=lambda x: x not in shapes):
-            base = self.prior.get(shape(name), 1.5)
-            odds = base / 2 + sure[name] * gain + (every[name] - sure[name]) * min(0.0, loss)
-            self.prior[name] = 0.0 if name.endswith("+") else max(-SURE, min(SURE, odds))
-        guess = {"upper": 0.8, "lower": 0.1, "digit": 0.2, "letter": 0.8}
-        post = {}
-        for k in table:
-            p = guess.get(k[1].split("\t")[1], 0.5) / (1 + math.exp(-self.prior[k[0]]))
-            post[k] = float(k[3]) if k[3] >= 0 else 0.1 if k[0].endswith("+") else p
-        for _ in range(ROUNDS):
-            on, off = Counter(), Counter()
-            for k, n in table.items():
-                p = post[k]
-                for name in (("f", k[1]), ("w", k[2]), ("all", self.group(k[1]))):
-                    on[name] += n * p
-                    off[name] += n * (1 - p)
-            self.on, self.off = on, off
-            for k in post:
-                if k[3] < 0:
-                    post[k] = self.posterior(k[0], k[1], k[2])
-
-    @staticmethod
-    def group(follow: str) -> str:
-        """Words in scripts with and without case are told apart before they are compared."""
-        return "letter" if follow.endswith("\tletter") else "thai" if follow.endswith(("\tthai", "\tword")) else "cased"
-
-    def context(self, before: str) -> str:
-        return before if before in self.known else shape(before)
-
-    def follow(self, what: str) -> tuple[str, str]:
-        s, kind, word = what.split("\t")
-        # The ends of paragraphs and of lines differ in what they say, the word after them doesn't.
-        return f"{s}\t{kind}", word if word in self.words else "<rare>"
+        self.estimates = estimates or _estimates_here([r for r in rows if r[0] not in ("<distance>", "<unmarked>")])
 
-    def score(self, before: str, follow: str, word: str) -> float:
+    def score(self, before: str, what: str) -> float:
         """Log odds of a boundary: event given the word before, then what follows given the event."""
-        on, off = self.on, self.off
-        every = ("all", self.group(follow))
-        x = 0.0
-        for name in (("f", follow), ("w", word)):
-            x += math.log((on[name] + 0.5) / (on[every] + 1)) - math.log((off[name] + 0.5) / (off[every] + 1))
-        # What follows weighs most where the text goes on after a quotation without a blank.
+        at, words, follows = self.estimates
+        name = before
+        for _ in range(3):  # the word, its shape, the shape of all
+            prior = at.get(name)
+            if prior is not None:
+                break
+            name = shape(name)
+        # The ends of paragraphs and of lines differ in what they say, the word after them doesn't.
+        follow, word = what.rsplit("\t", 1)
+        x = words.get(word)
+        x = follows.get(follow) + ((words.get("<rare>") or 0.0) if x is None else x)
         most = SURE if before.endswith("+") else SWAY
-        return self.prior.get(before, self.prior.get(shape(before), 0.0)) + max(-most, min(most, x))
+        return (prior or 0.0) + max(-most, min(most, x))
 
-    def posterior(self, before: str, follow: str, word: str) -> float:
-        return 1 / (1 + math.exp(-self.score(before, follow, word)))
+    def posterior(self, before: str, what: str) -> float:
+        return 1 / (1 + math.exp(-self.score(before, what)))
 
     def ends(self, text: str, more: list[int] | None = None) -> list[int]:
         """Ends of the sentences: gaps whose forward-backward posterior reaches the cutoff, those of ``more``, and the end of the text."""
@@ -350,7 +493,7 @@ class Model:
             if event is None:
                 x = memo.get((before, what))
                 if x is None:
-                    x = memo[before, what] = self.posterior(self.context(before), *self.follow(what))
+                    x = memo[before, what] = self.posterior(before, what)
             else:
                 x = 0.9999 if event else 0.0001
             emit.append((max(1e-9, 1 - x), max(1e-9, x)))
@@ -379,6 +522,10 @@ class Model:
         return sorted(x for x in set(out) if x > first)
 
 
+#: Starts of the shapes, and of the classes of long words, among the words before a gap.
+_COMMON = ("<short>", "<word>", "<long>")
+
+
 def _shape_column(c: str):
     """:func:`shape` as an expression."""
     word = F.substring_index(c, "\t", 1)
@@ -386,23 +533,47 @@ def _shape_column(c: str):
     return F.concat(F.when(F.length(word) <= 3, "<short>").otherwise("<word>"), rest)
 
 
+def _estimates(rows: DataFrame) -> Estimates:
+    """Estimates from rows(before, what, event, n) of any number.
+
+    Gaps that agree in the word after, in the kind of what follows and in the odds of the
+    word before are one cell; cells are gathered by word, and every round reads them once.
+    """
+    rows = rows.withColumn("word", F.substring_index("what", "\t", -1)).withColumn("follow", F.substring_index("what", "\t", 2))
+    often = lambda c: rows.groupBy(c).agg(F.sum("n").alias("m")).filter(F.col("m") >= LEAST).select(c, F.lit(True).alias(f"{c}_known"))
+    rows = rows.join(often("before"), "before", "left").join(often("word"), "word", "left")
+    # A word that follows the same word once or twice counts as a rare one; the word before keeps its counts.
+    kept = F.col("word_known") & ((F.col("n") >= LEAST) | (F.col("word") == ""))
+    rows = rows.select(F.when(F.col("before_known"), F.col("before")).otherwise(_shape_column("before")).alias("name"), "follow", F.when(kept, F.col("word")).otherwise("<rare>").alias("word"), "event", "n")
+    rows = persist_table(rows.groupBy("name", "follow", "word", "event").agg(F.sum("n").alias("n")), "p10-contexts")
+    every = rows.groupBy("name").agg(F.sum("n").alias("every"), F.sum(F.when(F.col("event") == 1, F.col("n")).otherwise(0)).alias("sure"))
+    every = every.withColumn("name", F.explode(F.array("name", _shape_column("name")))).groupBy("name").agg(F.sum("every").alias("every"), F.sum("sure").alias("sure"))
+    every = persist_table(every, "p10-befores")
+    is_common = F.lit(False)
+    for start in _COMMON:
+        is_common = is_common | F.col("name").startswith(start)
+    priors = Priors(tuple(r) for r in every.filter(is_common).collect())  # a few for each mark and closing sign
+    prior = persist_table(every.mapInArrow(priors.table, "name string, key long, prior double"), "p10-priors")
+    cells = rows.join(prior.select("name", "prior"), "name").groupBy("word", "follow", F.col("name").endswith("+").alias("plus"), "prior", "event").agg(F.sum("n").alias("n"))
+    cells = persist_table(cells.groupBy("word").agg(F.collect_list(F.struct("follow", "plus", "prior", "event", "n")).alias("cells")).select("word", F.col("cells").cast(_CELLS).alias("cells")), "p10-cells")
+
+    def sums(before: list[Follows]) -> dict[str, tuple[int, int]]:
+        out = cells.mapInArrow(_sums(before), "follow string, on long, off long").groupBy("follow").agg(F.sum("on"), F.sum("off"))
+        return {f: (on, off) for f, on, off in out.collect()}
+
+    done = _rounds(sums)
+    words = cells.mapInArrow(_words(done[:-1]), "key long, odds double")
+    scores = lambda df: Scores(*(c.to_numpy() for c in df.toArrow().columns))
+    return Estimates(scores(prior.select("key", "prior")), scores(words), done[-1])
+
+
 def train(texts: DataFrame) -> Model:
-    """Fit the model on texts(text) of any size; the counts of rare contexts come to the driver summed up by their shapes."""
+    """Fit the model on texts(text) of any size; 16 bytes for each word that is told apart come to the driver and go to the tasks."""
     rows = texts.select("text").mapInArrow(_observer, "before string, what string, event int, n long")
     rows = persist_table(rows.groupBy("before", "what", "event").agg(F.sum("n").alias("n")), "p10-counts")
     special = F.col("before").isin("<distance>", "<unmarked>")
     few = [tuple(r) for r in rows.filter(special).collect()]  # a dozen
-    rows = rows.filter(~special).withColumn("word", F.substring_index("what", "\t", -1)).withColumn("kind", F.substring_index("what", "\t", 2))
-    top = lambda c: rows.groupBy(c).agg(F.sum("n").alias("m")).filter("m >= 3").orderBy(F.desc("m"), c).limit(MAX_CONTEXTS).select(c, F.lit(True).alias("known"))
-    rows = rows.join(F.broadcast(top("before")), "before", "left").withColumn("before", F.when(F.col("known"), F.col("before")).otherwise(_shape_column("before"))).drop("known")
-    # A word that follows the same word once or twice counts as a rare one; the word before keeps its counts.
-    rows = rows.join(F.broadcast(top("word")), "word", "left").withColumn("word", F.when(F.col("known") & ((F.col("n") >= 3) | (F.col("word") == "")), F.col("word")).otherwise("<rare>")).drop("known")
-    rows = persist_table(rows.groupBy("before", "kind", "word", "event").agg(F.sum("n").alias("n")), "p10-contexts")
-    if rows.count() > MAX_PAIRS:
-        least = rows.orderBy(F.desc("n")).limit(MAX_PAIRS).agg(F.min("n")).first()[0]
-        rows = rows.withColumn("word", F.when(F.col("n") > least, F.col("word")).otherwise("<rare>")).groupBy("before", "kind", "word", "event").agg(F.sum("n").alias("n"))
-    rows = rows.select("before", F.concat_ws("\t", "kind", "word").alias("what"), "event", "n").orderBy("before", "what", "event")
-    return Model(few + [tuple(r) for r in rows.collect()])
+    return Model(few, _estimates(rows.filter(~special)))
 
 
 def _tokens(text: str, start: int, end: int) -> list[tuple[int, int, str]]:

@@ -150,6 +150,28 @@ def test_sentences_cover_the_text(text):
     assert not text.strip() or ends[-1] == len(text.rstrip())
 
 
+def test_words_are_told_apart_however_many_there_are(spark):
+    """20,300 abbreviations, each four times; the last in the alphabet is read as the first is, and not as words that end sentences."""
+    letters = "bcdfghjklmnprstvwxyz"
+    words = sorted(a + b + c + d for a in letters for b in letters for c in letters for d in letters)[:20_300]
+    texts = []
+    for i in range(0, len(words), 5):
+        some = " ".join(f"They saw the old {w}. tolmar" for w in words[i:i + 5]) + " again afterwards."
+        texts.append(("\n\n".join([some] * 4 + ["Nothing else happened to them afterwards."] * 4),))
+    m = S.train(spark.createDataFrame(texts, "text string").repartition(4))
+    for w in (words[0], words[10_000], words[-1]):
+        text = f"They saw {w}. tolmar again afterwards."
+        assert m.ends(text) == [len(text)]
+
+
+def test_counts_of_the_corpus_give_the_model_of_counts_in_memory(spark):
+    rows = spark.createDataFrame([(t,) for t in TRAINING], "text string").repartition(3)
+    one, other = S.train(rows), model(TRAINING)
+    assert {k: list(v) for k, v in one.far.items()} == {k: list(v) for k, v in other.far.items()}
+    seen = {(before, what) for t in TRAINING for _, before, what, _, _ in S.gaps(t)} | {("unseen\tdot\t", "blank\tupper\tunseen"), ("a\tdots\t”+", "none\t%\t")}
+    assert {k: one.score(*k) for k in seen} == {k: other.score(*k) for k in seen}
+
+
 def joined(parts, sep):
     ends, at = [], 0
     for p in parts:
